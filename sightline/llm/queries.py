@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sightline.llm import quality
+from sightline.llm import decontaminate, line_dedup, packing, quality
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.OP9_SQL}
