@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,14 +30,20 @@ from sightline.llm.common import materialize, table
 
 SIZE, END_ID = 2048, 0
 #: Encodings of words kept by a Python worker; longer words are not kept.
-KEPT_WORDS, KEPT_CHARS = 300_000, 64
+KEPT_WORDS, KEPT_CHARS = 500_000, 64
+
+
+#: Where these meet in a word, the tokenizer always begins a new part.
+UNIT = re.compile(r"[^\W\d_]+|[.,;:!?]+|\n")
 
 
 class WordEncoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
     The tokenizer never joins what stands on both sides of a single space between other
-    characters, so such parts are encoded once each and kept."""
+    characters, nor letters with stops or line ends, so such parts are encoded once each and kept.
+    What is full becomes the older generation, from which words come back as they occur, so frequent
+    words stay."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,29 +51,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # words after a space
+        self.older: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}  # parts not after a space
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         first, *parts = text.split(" ")
-        if not parts:
-            return self._encode([text])[0]
+        if not parts or not first or first[-1].isspace():
+            return self._joined(first, parts)
         ids = list(map(self.kept.get, parts))
         if None in ids:
-            missing = list({w for w, x in zip(parts, ids, strict=True) if x is None})
+            missing = {w for w, x in zip(parts, ids, strict=True) if x is None}
             if any(w != w.strip() or not w for w in missing):
                 return self._joined(first, parts)
-            new = dict(zip(missing, self._encode([" " + w for w in missing]), strict=True))
+            new = {w: self.older[w] for w in missing & self.older.keys()}
+            new |= self._words(list(missing - new.keys()))
             ids = [new[w] if x is None else x for w, x in zip(parts, ids, strict=True)]
-            if len(self.kept) > KEPT_WORDS:
-                self.kept.clear()
             self.kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_CHARS)
-        if first != first.rstrip() or not first:
-            return self._joined(first, parts)
+            if len(self.kept) > KEPT_WORDS:
+                self.kept, self.older = {}, self.kept
         return self._encode([first])[0] + b"".join(ids)
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words after a space; words with stops or line ends inside are put together."""
+        split, need, units = {}, {}, {}
+        for w in words:
+            parts = UNIT.findall(w)
+            if len(parts) > 1 and "".join(parts) == w and "\n\n" not in w and all(p.isalpha() or not p[0].isalnum() for p in parts):
+                split[w] = parts
+                if (x := self.kept.get(parts[0]) or self.older.get(parts[0])) is None:
+                    need[" " + parts[0]] = None
+                else:
+                    need[" " + parts[0]] = x
+                units |= ((p, self.units.get(p)) for p in parts[1:])
+            else:
+                need[" " + w] = need.get(" " + w)
+        unknown = [p for p, x in need.items() if x is None]
+        need |= zip(unknown, self._encode(unknown), strict=True)
+        unknown = [p for p, x in units.items() if x is None]
+        units |= zip(unknown, self._encode(unknown), strict=True)
+        if len(self.units) > KEPT_WORDS:
+            self.units.clear()
+        self.units.update((p, units[p]) for p in unknown if len(p) <= KEPT_CHARS)
+        out = {w: b"".join([need[" " + parts[0]], *(units[p] for p in parts[1:])]) for w, parts in split.items()}
+        return out | {p[1:]: x for p, x in need.items()}
+
     def _joined(self, first: str, parts: list[str]) -> bytes:
         """Parts with other white space at their ends stay with their neighbours."""
         chunks = [[first]]
