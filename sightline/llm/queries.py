@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, line_dedup, packing, quality
+from sightline.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality, url_filter, warc_revisit
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_warc_revisits": warc_revisit.op4_warc_revisits,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op4_warc_revisits": warc_revisit.OP4_SQL,
+    "op5_license_scan": license_scan.OP5_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
+}
