@@ -15,15 +15,14 @@ from sightline.llm.decontaminate import contaminated, find_contamination, n_hit_
 from sightline.llm.line_dedup import drop_boilerplate
 from sightline.llm.near_duplicates import near_duplicates
 from sightline.llm.packing import default_tokenizer, pack
-from sightline.llm.quality import quality_rules
+from sightline.llm.quality import keep_quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return keep_quality(docs).select(*COLUMNS)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,12 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one that gives the group its id. Of rows that
     repeat its id one stays."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # what goes is a small part as a rule; once written its size is known, and Spark joins accordingly
+    gone = materialize(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

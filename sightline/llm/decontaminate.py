@@ -212,7 +212,7 @@ def without_spans(text: str, spans: str) -> Column:
     """The column ``text`` without the words of the column ``spans``."""
 
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(s) else remove_spans(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([t if t is None or s is None or not len(s) else remove_spans(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
 
     return F.pandas_udf(run, "string")(text, spans)
 

@@ -188,5 +188,17 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
     return docs.select("doc_id", "text", "lang").mapInPandas(run, SCHEMA)
 
 
+def keep_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are, without a shuffle."""
+    refs = references(docs, params)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, langs in batches:
+            yield pd.Series([judge(None, t, lang, refs, params)[7] for t, lang in zip(texts, langs, strict=True)], dtype=bool)
+
+    kept = F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)
+    return docs.filter(kept("text", "lang"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
