@@ -5,12 +5,13 @@ is the point of its counts per group; the overlap of two sets is at most the sum
 coordinate minima, for single points and for the corner points of tree nodes alike.
 
 1. Equal sets become one class.
-2. Sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of any common
-   order; rare hash buckets come first, so that frequent passages seldom decide.
+2. Sets that reach the threshold share k shingles among the first n - ceil(t n) + k of any common
+   order; k is 1 + n / 20, and rare hash buckets come first, so that frequent passages seldom decide.
 3. In each group of sets with a common prefix shingle, every set is paired with a pivot of fitting
    size; pairs that survive the bound are verified, which joins most near copies at once.
-4. Where sets of different components still share a prefix shingle, an R-tree over the points finds
-   the pairs that survive the bound, in tiles of bounded size, and these are verified too.
+4. Where sets of different components still share a prefix shingle, pairs of fitting size and, by an
+   R-tree over the coarse points in tiles of bounded size, of sufficient bound are counted; those
+   with k common prefix shingles that survive the bound of the full points are verified too.
 
 No link between different sets is lost, and no group is expanded into all of its pairs.
 
@@ -48,7 +49,8 @@ class JaccardParams:
 
     words: int = 5
     percent: int = 75
-    groups: int = 64
+    groups: int = 256
+    coarse: int = 16
     buckets: int = 65536
     tile: int = 2000
     leaf: int = 32
@@ -91,8 +93,13 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(mix(sum(w[i : len(w) - k + 1 + i] * _place[i] for i in range(k)) + np.uint64(k)))
 
 
+def common_prefix(n):
+    """Least number of prefix shingles in common with a linked set of no fewer shingles."""
+    return 1 + n // 20
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n + (-percent * n) // 100 + 1
+    return min(n, n + (-percent * n) // 100 + common_prefix(n))
 
 
 def needed(a, b, percent: int):
@@ -167,6 +174,13 @@ def _survives(percent: int, groups: int):
     return F.pandas_udf(run, "boolean")
 
 
+def _fold(p: JaccardParams):
+    def run(points: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, "<u4").reshape(-1, p.coarse).sum(0).astype("<u4").tobytes() for x in points], dtype=object)
+
+    return F.pandas_udf(run, "binary")
+
+
 class CountTree:
     """An R-tree of two levels over count vectors, packed in order of set size and leading counts."""
 
@@ -187,36 +201,62 @@ class CountTree:
 
 
 def _tree_pairs(p: JaccardParams):
-    """Rows in order of tile: pairs of different components that survive the bound. A tile of two
-    chunks pairs across them, a tile of one chunk within it."""
-
-    def tile(g: pd.DataFrame) -> list[tuple[int, int]]:
-        if g["component"].nunique() < 2:
-            return []
-        points = np.frombuffer(b"".join(g["point"]), "<u4").reshape(-1, p.groups)
-        ids, sizes, comps, chunk = (g[c].to_numpy() for c in ("id", "n", "component", "chunk"))
-        across = len(set(chunk)) > 1
+    """Rows in order of tile and size: pairs of different components that may be linked. A tile of
+    two chunks pairs across them, a tile of one chunk within it."""
+
+    def tile(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Row positions of the pairs of a long run, by the tree."""
+        points = np.frombuffer(b"".join(g["coarse"]), "<u4").reshape(-1, p.coarse)
+        sizes, chunk = g["n"].to_numpy(), g["chunk"].to_numpy()
         tree = CountTree(points, sizes, p.leaf)
-        out = []
-        for k in range(len(ids)):
+        across = len(set(chunk)) > 1
+        left, right = [], []
+        for k in range(len(sizes)):
             found = tree.search(points[k], sizes[k], p.percent)
-            found = found[(ids[found] < ids[k]) & (comps[found] != comps[k])]
-            if across:
-                found = found[chunk[found] != chunk[k]]
-            out += [(int(ids[k]), int(x)) for x in ids[found]]
-        return out
+            found = found[(found < k) & ((chunk[found] != chunk[k]) | (not across))]
+            left.append(np.full(len(found), k))
+            right.append(found)
+        return np.concatenate(left), np.concatenate(right)
+
+    def pairs(g: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """All pairs of whole runs, with how often each occurs."""
+        ids, n, comps = (g[c].to_numpy() for c in ("id", "n", "component"))
+        lengths = np.diff([*starts, len(g)])
+        run = np.repeat(np.arange(len(starts)), lengths)
+        long = lengths > p.leaf
+        left, right = [], []
+        short = np.flatnonzero(~long[run])
+        for d in range(1, p.leaf):  # rows of short runs against the d-th row before them
+            x = short[short >= d]
+            x = x[run[x] == run[x - d]]
+            if not len(x):
+                break
+            x = x[100 * n[x - d] >= p.percent * n[x]]
+            left.append(x)
+            right.append(x - d)
+        for k in np.flatnonzero(long).tolist():
+            a, b = tile(g.iloc[starts[k] : starts[k] + lengths[k]])
+            left.append(a + starts[k])
+            right.append(b + starts[k])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
+        ok = comps[a] != comps[b]
+        a, b = a[ok], b[ok]
+        out = pd.DataFrame({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b]), "k": common_prefix(np.minimum(n[a], n[b]))})
+        return out.groupby(["a", "b", "k"], as_index=False).size().rename(columns={"size": "c"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = batch[["h", "i", "j"]]
-            begins = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
-            rest = batch.iloc[begins[-1] :] if len(begins) else None
-            pairs = {x for a, b in zip(begins[:-1], begins[1:], strict=True) for x in tile(batch.iloc[a:b])}
-            yield pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
-        if rest is not None and len(rest):
-            yield pd.DataFrame(sorted(set(tile(rest))), columns=["a", "b"], dtype=np.int64)
+            if not len(batch):
+                continue
+            key = batch[["h", "i", "j"]].to_numpy()
+            begins = np.concatenate(([0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))))
+            rest = batch.iloc[begins[-1] :]
+            if len(begins) > 1:
+                yield pairs(batch.iloc[: begins[-1]], begins[:-1])
+        if rest is not None:
+            yield pairs(rest.reset_index(drop=True), np.zeros(1, np.int64))
 
     return run
 
@@ -266,7 +306,7 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     shared = materialize(rows.mapInPandas(_pivots(p.percent), "h long, id long, n long, pivot long"), "shared")
 
     members = shared.select("id").distinct()
-    points = materialize(sets.join(classes.select("id", F.col("rep_row").alias("row")), "row").select("id", "n", "point").join(members, "id", "left_semi"), "points")
+    points = materialize(sets.join(classes.select("id", F.col("rep_row").alias("row")), "row").select("id", "n", "point", _fold(p)("point").alias("coarse")).join(members, "id", "left_semi"), "points")
     rep_rows = members.withColumnRenamed("id", "doc_id")
     texts = materialize(docs.join(rep_rows, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "texts")
 
@@ -283,9 +323,9 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     open_runs = known.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("h", F.ceil(F.col("m") / p.tile).alias("chunks"))
     chunked = known.join(open_runs, "h").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component")
-    placed = tiles.join(points, "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    second = placed.mapInPandas(_tree_pairs(p), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = verify(materialize(second, "pairs"), texts, p)
+    placed = tiles.join(points.select("id", "n", "coarse"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+    counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
+    more = verify(materialize(surviving(materialize(counted, "counted")), "pairs"), texts, p)
 
     final = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
     of_class = classes.join(final, "id", "left").select(*sig, F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
