@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sightline.plans import analytics, operations
+from sightline.plans.report import callables
+
+_REPORTS = analytics.REPORTS | operations.REPORTS
+QUERIES: dict = callables(_REPORTS)
+ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()}
