@@ -32,15 +32,12 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import materialize, table
 from sightline.llm.components import components
+from sightline.llm.hashing import BASE, PartHashes, mix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _space = np.zeros(256, bool)
 _space[list(b" \t\n\x0b\x0c\r")] = True
-_rng = np.random.default_rng(7)
-_symbol = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_base = np.uint64(0x9E3779B97F4A7C15)
-_unbase = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_place = _rng.integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_place = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -56,30 +53,12 @@ class JaccardParams:
     leaf: int = 32
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_base, _unbase)):
-            _powers[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, 2**16), b, np.uint64))))
-    return _powers[0][:n], _powers[1]
-
-
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, from differences of one running polynomial sum."""
+    """A 64-bit hash of each word."""
     a = np.frombuffer(raw, np.uint8)
     gap = np.concatenate(([True], _space[a], [True]))
     starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    up, down = powers(len(a))
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_symbol[a] * up)))
-    return mix((total[ends] - total[starts]) * down[starts])
+    return PartHashes(a).of(starts, ends)
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -127,7 +106,7 @@ def _features(p: JaccardParams, rank: np.ndarray):
                 s = shingles(text, p.words)
                 order = np.lexsort((s, rank[(s % np.uint64(p.buckets)).astype(np.int64)]))[: prefix_length(len(s), p.percent) if len(s) else 0]
                 point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups).astype("<u4")
-                rows.append((doc_id, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + _base).sum(dtype=np.uint64).astype(np.int64)), s[order].astype(np.int64), point.tobytes()))
+                rows.append((doc_id, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + BASE).sum(dtype=np.uint64).astype(np.int64)), s[order].astype(np.int64), point.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "sig_a", "sig_b", "prefix", "point"])
 
     return run

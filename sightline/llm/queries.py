@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, language_id, license_scan, line_dedup, near_duplicates, packing, quality, url_filter, warc_revisit
+from sightline.llm import decontaminate, language_id, license_scan, line_dedup, near_duplicates, packing, quality, suffix_dedup, url_filter, warc_revisit
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
     "op4_warc_revisits": warc_revisit.op4_warc_revisits,
     "op5_license_scan": license_scan.op5_license_scan,
