@@ -34,3 +34,8 @@ class PartHashes:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.total[ends] - self.total[starts]) * self.down[starts])
+
+    def windows(self, length: int) -> np.ndarray:
+        """Hashes of the parts of one length at every place."""
+        n = len(self.total) - length
+        return mix((self.total[length:] - self.total[:n]) * self.down[:n])

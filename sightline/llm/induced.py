@@ -65,48 +65,54 @@ class InducedSort:
         before = np.maximum(at - 1, 0)
         c = self.text[before]
         ok = (at > 0) & (c != END) & (self.larger[before] == self.forward)
-        c = np.where(ok, c, -1)
+        c = np.where(ok, c, -1).astype(np.int16)
         running = np.minimum.accumulate(lcp)
-        for s in np.unique(c[ok]).tolist():
+        present = np.flatnonzero(np.bincount(c[ok], minlength=257))
+        for s in present.tolist():
             k = np.flatnonzero(c == s)
             least = np.minimum.reduceat(lcp[: k[-1] + 1], np.concatenate(([0], k[:-1] + 1)))
             least[0] = min(self.least[s], running[k[0]])
             self.queues[s].put(before[k], np.minimum(least + 1, self.depth))
             self.least[s] = lcp[k[-1] + 1 :].min() if k[-1] + 1 < len(lcp) else self.depth
         absent = np.ones(257, bool)
-        absent[np.unique(c[ok])] = False
+        absent[present] = False
         self.least[absent] = np.minimum(self.least[absent], running[-1])
 
 
-def _sample_order(text: np.ndarray, sample: np.ndarray, depth: int) -> np.ndarray:
+def _sample_order(text: np.ndarray, sample: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     """The sample in order of the first ``depth`` symbols; all symbols after a segment's end are END."""
-    n = len(text)
-    rank = text.astype(np.int64)
-    span = 1
-    ends = np.flatnonzero(text == END)
-    stop = ends[np.searchsorted(ends, np.arange(n))]  # the end of each position's segment
-    while span < depth:
-        to = np.minimum(np.arange(n) + span, stop)
-        key = rank * (int(rank.max()) + 1) + rank[to]
-        order = np.argsort(key, kind="stable")
+    here, n = np.arange(len(text)), len(text)
+    key, span = np.zeros(n, np.int64), min(7, depth)
+    for k in range(span):  # 257 ** 7 is below 2 ** 63
+        key = key * 257 + text[np.minimum(here + k, stop)]
+    while True:
+        order = np.argsort(key)
         new = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
         rank = np.empty(n, np.int64)
         rank[order] = new
+        if span >= depth or new[-1] == n - 1:
+            return sample[np.argsort(rank[sample], kind="stable")]
+        key = rank * (int(new[-1]) + 1) + rank[np.minimum(here + span, stop)]
         span *= 2
-    return sample[np.argsort(rank[sample], kind="stable")]
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of the suffixes at a and b, cut at ``depth`` and at segment ends."""
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    x, y = a.copy(), b.copy()
-    for _ in range(depth):
-        same = (text[x] == text[y]) & (text[x] != END)
-        live, x, y = live[same], x[same] + 1, y[same] + 1
+def common_prefix(text: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of the suffixes at a and b, cut at ``depth`` and at segment ends; four 16-bit
+    symbols are compared at a time."""
+    padded = np.append(text, np.zeros(4, text.dtype)).astype(np.uint64)
+    word = padded[:-4] | padded[1:-3] << np.uint64(16) | padded[2:-2] << np.uint64(32) | padded[3:-1] << np.uint64(48)
+    most = np.minimum(np.minimum(stop[a] - a, stop[b] - b), depth)
+    out, live = most.copy(), np.flatnonzero(most > 0)
+    for k in range(0, depth, 4):
+        differ = word[a[live] + k] ^ word[b[live] + k]
+        ended = differ != 0
+        low = differ[ended] & (~differ[ended] + np.uint64(1))
+        at = live[ended]
+        out[at] = np.minimum(most[at], k + (np.log2(low.astype(np.float64)) // 16).astype(np.int64))
+        live = live[~ended]
+        live = live[most[live] > k + 4]
         if not len(live):
             break
-        out[live] += 1
     return out
 
 
@@ -125,9 +131,10 @@ def sorted_suffixes(text: np.ndarray, depth: int, held: int = 2**20) -> tuple[np
     larger[text == END] = False
     ends = np.flatnonzero(text == END)
     sample = np.flatnonzero(~larger[1:] & larger[:-1] & (text[1:] != END)) + 1
-    sample = _sample_order(text, sample, depth) if len(sample) else sample
+    stop = ends[np.searchsorted(ends, np.arange(n))]  # the end of each position's segment
+    sample = _sample_order(text, sample, stop, depth) if len(sample) else sample
     sample_lcp = np.zeros(len(sample), np.int64)
-    sample_lcp[1:] = common_prefix(text, sample[:-1], sample[1:], depth)
+    sample_lcp[1:] = common_prefix(text, stop, sample[:-1], sample[1:], depth)
     starts = np.searchsorted(text[sample], np.arange(258))
 
     def junction(a: int, b: int) -> int:

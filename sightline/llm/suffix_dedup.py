@@ -58,8 +58,7 @@ def segments(raw: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, ...]:
     for begin in range(0, len(raw) - p.length + 1, p.chunk):
         part = raw[begin : begin + p.chunk + p.length - 1]
         hashes = PartHashes(part)
-        at = np.arange(len(part) - p.gram + 1)
-        grams = hashes.of(at, at + p.gram)
+        grams = hashes.windows(p.gram)
         least = sliding_min(grams, w)
         starts = np.concatenate(([0], 1 + np.flatnonzero(least[1:] != least[:-1])))
         ends = np.concatenate((starts[1:], [len(least)])) + p.length - 1
@@ -149,7 +148,7 @@ def counted_repeats(spool, n: int, size: int, p: RepeatParams) -> Iterator[tuple
         for record in range(n):
             raw = np.frombuffer(spool.read(int.from_bytes(spool.read(8), "little")), np.uint8)
             at = np.arange(len(raw) - p.length + 1)
-            v = PartHashes(raw).of(at, at + p.length)
+            v = PartHashes(raw).windows(p.length)
             mine = v % np.uint64(passes) == k
             yield record, at[mine], v[mine]
 
