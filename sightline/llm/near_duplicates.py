@@ -9,9 +9,10 @@ coordinate minima, for single points and for the corner points of tree nodes ali
    order; k is 1 + n / 20, and rare hash buckets come first, so that frequent passages seldom decide.
 3. In each group of sets with a common prefix shingle, every set is paired with a pivot of fitting
    size; pairs that survive the bound are verified, which joins most near copies at once.
-4. Where sets of different components still share a prefix shingle, pairs of fitting size and, by an
-   R-tree over the coarse points in tiles of bounded size, of sufficient bound are counted; those
-   with k common prefix shingles that survive the bound of the full points are verified too.
+4. The same with the set that shares most with others as the center of each group.
+5. Where sets of different components still share a prefix shingle, an R-tree over the points, in
+   tiles of bounded size, finds the pairs whose bound suffices; those that come up in k groups are
+   verified too.
 
 No link between different sets is lost, and no group is expanded into all of its pairs.
 
@@ -47,10 +48,10 @@ class JaccardParams:
     words: int = 5
     percent: int = 75
     groups: int = 256
-    coarse: int = 16
     buckets: int = 65536
     tile: int = 2000
     leaf: int = 32
+    star_rounds: int = 2
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -105,7 +106,7 @@ def _features(p: JaccardParams, rank: np.ndarray):
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, p.words)
                 order = np.lexsort((s, rank[(s % np.uint64(p.buckets)).astype(np.int64)]))[: prefix_length(len(s), p.percent) if len(s) else 0]
-                point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups).astype("<u4")
+                point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups).clip(max=FULL).astype(np.uint8)
                 rows.append((doc_id, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + BASE).sum(dtype=np.uint64).astype(np.int64)), s[order].astype(np.int64), point.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "sig_a", "sig_b", "prefix", "point"])
 
@@ -141,25 +142,26 @@ def _pivots(percent: int):
     return run
 
 
+#: Counts are kept in a byte; this one stands for itself and all above.
+FULL = 255
+#: No set is larger.
+NO_BOUND = 2**40
+
+
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(-1)
+    """Summed coordinate minima, or no bound where a coordinate is full on both sides."""
+    least = np.minimum(a, b)
+    return np.where((least == FULL).any(-1), NO_BOUND, least.sum(-1, dtype=np.int64))
 
 
 def _survives(percent: int, groups: int):
     def run(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, groups) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, groups) for s in (a, b))
         return pd.Series(bound(x, y) >= needed(na.to_numpy(), nb.to_numpy(), percent))
 
     return F.pandas_udf(run, "boolean")
 
 
-def _fold(p: JaccardParams):
-    def run(points: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, "<u4").reshape(-1, p.coarse).sum(0).astype("<u4").tobytes() for x in points], dtype=object)
-
-    return F.pandas_udf(run, "binary")
-
-
 class CountTree:
     """An R-tree of two levels over count vectors, packed in order of set size and leading counts."""
 
@@ -183,10 +185,8 @@ def _tree_pairs(p: JaccardParams):
     """Rows in order of tile and size: pairs of different components that may be linked. A tile of
     two chunks pairs across them, a tile of one chunk within it."""
 
-    def tile(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def tile(points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row positions of the pairs of a long run, by the tree."""
-        points = np.frombuffer(b"".join(g["coarse"]), "<u4").reshape(-1, p.coarse)
-        sizes, chunk = g["n"].to_numpy(), g["chunk"].to_numpy()
         tree = CountTree(points, sizes, p.leaf)
         across = len(set(chunk)) > 1
         left, right = [], []
@@ -199,7 +199,8 @@ def _tree_pairs(p: JaccardParams):
 
     def pairs(g: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """All pairs of whole runs, with how often each occurs."""
-        ids, n, comps = (g[c].to_numpy() for c in ("id", "n", "component"))
+        ids, n, comps, chunk = (g[c].to_numpy() for c in ("id", "n", "component", "chunk"))
+        points = np.frombuffer(b"".join(g["point"]), np.uint8).reshape(-1, p.groups)
         lengths = np.diff([*starts, len(g)])
         run = np.repeat(np.arange(len(starts)), lengths)
         long = lengths > p.leaf
@@ -210,11 +211,13 @@ def _tree_pairs(p: JaccardParams):
             x = x[run[x] == run[x - d]]
             if not len(x):
                 break
-            x = x[100 * n[x - d] >= p.percent * n[x]]
+            x = x[(100 * n[x - d] >= p.percent * n[x]) & (comps[x] != comps[x - d])]
+            x = x[bound(points[x], points[x - d]) >= needed(n[x], n[x - d], p.percent)]
             left.append(x)
             right.append(x - d)
         for k in np.flatnonzero(long).tolist():
-            a, b = tile(g.iloc[starts[k] : starts[k] + lengths[k]])
+            at = slice(starts[k], starts[k] + lengths[k])
+            a, b = tile(points[at], n[at], chunk[at])
             left.append(a + starts[k])
             right.append(b + starts[k])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
@@ -265,6 +268,13 @@ def verify(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
+def _open_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows (h, id, n) of runs that hold several components, with these and the run's size."""
+    known = rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_runs = known.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("h", "m")
+    return materialize(known.join(open_runs, "h"), "open")
+
+
 def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
     p = params
@@ -285,7 +295,7 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     shared = materialize(rows.mapInPandas(_pivots(p.percent), "h long, id long, n long, pivot long"), "shared")
 
     members = shared.select("id").distinct()
-    points = materialize(sets.join(classes.select("id", F.col("rep_row").alias("row")), "row").select("id", "n", "point", _fold(p)("point").alias("coarse")).join(members, "id", "left_semi"), "points")
+    points = materialize(sets.join(classes.select("id", F.col("rep_row").alias("row")), "row").select("id", "n", "point").join(members, "id", "left_semi"), "points")
     rep_rows = members.withColumnRenamed("id", "doc_id")
     texts = materialize(docs.join(rep_rows, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "texts")
 
@@ -297,14 +307,21 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     links = materialize(verify(materialize(surviving(first), "pairs"), texts, p), "links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    known = shared.select("h", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = materialize(known, "known")
-    open_runs = known.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("h", F.ceil(F.col("m") / p.tile).alias("chunks"))
-    chunked = known.join(open_runs, "h").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    # In runs that still hold several components, every set is paired with the one that shares most
+    # with others: the text that a group was copied from, as a rule. What this leaves is few.
+    rows = _open_rows(shared.select("h", "id", "n"), joined)
+    for _ in range(p.star_rounds):
+        weight = rows.groupBy("id").agg(F.sum("m").alias("weight"))
+        heavy = rows.join(weight, "id").groupBy("h").agg(F.max_by(F.struct("id", "component"), F.struct("weight", "id")).alias("center"))
+        around = rows.join(heavy, "h").filter("component <> center.component").select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct()
+        links = materialize(links.unionByName(verify(materialize(surviving(around), "pairs"), texts, p)), "links")
+        joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rows = _open_rows(rows.select("h", "id", "n"), joined)
+    chunked = rows.withColumn("chunks", F.ceil(F.col("m") / p.tile)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component")
-    placed = tiles.join(points.select("id", "n", "coarse"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+    placed = tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
     counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
-    more = verify(materialize(surviving(materialize(counted, "counted")), "pairs"), texts, p)
+    more = verify(materialize(counted, "pairs"), texts, p)
 
     final = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
     of_class = classes.join(final, "id", "left").select(*sig, F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
