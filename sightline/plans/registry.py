@@ -1,10 +1,16 @@
-"""Every query of the reports, with the SQL it is checked against."""
+"""Every query of the reports, with the SQL it is checked against; retrieval with stand-ins for
+models has rows only."""
 
 from __future__ import annotations
 
+from sightline.operators import retrieval
 from sightline.plans import analytics, operations
 from sightline.plans.report import callables
 
 _REPORTS = analytics.REPORTS | operations.REPORTS
-QUERIES: dict = callables(_REPORTS)
+QUERIES: dict = callables(_REPORTS) | {
+    "rerank_search": retrieval.rerank_search,
+    "blended_search": retrieval.blended_search,
+    "grounded_answer": retrieval.grounded_answer,
+}
 ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()}
