@@ -2,12 +2,13 @@
 
 Linear support vector machines over hashed byte n-grams predict the language family first; within
 it, one machine for each pair of languages votes. They learn from a sample of ``sample`` labelled
-documents at most, drawn by a hash of the id; prediction covers whole texts.
+documents at most, drawn by a hash of id and language; prediction covers whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a document without an
-id is not held out; rows without a language teach nothing; with no labelled row all is ``und``; ties
-go to the language that comes first in the alphabet; repeated rows are predicted each for itself; an
-empty table gives an empty result; other columns are ignored, so their names cannot clash.
+id is not held out; rows without a language teach nothing, and of rows with one id and language the
+least text teaches; with no labelled row all is ``und``; ties go to the language that comes first in
+the alphabet; repeated rows are predicted each for itself; an empty table gives an empty result;
+other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -112,16 +113,24 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def draw(docs: DataFrame, sample: int) -> DataFrame:
+    """lang, text of at most ``sample`` labelled rows with least hashes of id and language. The first
+    pass reads no text; the second keeps texts that are drawn before it shuffles any."""
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != UND)).withColumn("k", F.xxhash64("doc_id", "lang"))
+    last = known.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    rows = known.filter(F.col("text").isNotNull() & (F.col("k") <= F.lit(last).cast("long")))
+    return rows.groupBy("k", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def learn(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Hierarchy:
     """Fit on labelled rows that are not held out; only features leave the executors."""
-    drawn = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(lang, features(t, p.size).astype("<f4").tobytes()) for lang, t in zip(batch["lang"], batch["text"], strict=True) if any(map(str.isalpha, t))]
             yield pd.DataFrame(rows, columns=["lang", "x"])
 
-    rows = drawn.mapInPandas(run, "lang string, x binary").collect()
+    rows = draw(docs, p.sample).mapInPandas(run, "lang string, x binary").collect()
     if not rows:
         return Hierarchy((), {}, {}, {}, p.size)
     x = np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(float)

@@ -177,6 +177,10 @@ def test_language(spark, empty):
     assert all(0 <= r.score <= 1 for r in found.values())
     assert found[900].lang_pred == found[901].lang_pred == "und"
     assert language_id.identify(empty, language_id.learn(empty)).count() == 0
+    again = docs.unionByName(docs)
+    drawn = {(r.lang, r.text) for r in language_id.draw(again, 50).collect()}
+    assert 40 < language_id.draw(again, 50).count() <= 50 and drawn <= {(lang, t) for _, t, lang in rows}
+    assert drawn == {(r.lang, r.text) for r in language_id.draw(docs, 50).collect()}
 
 
 def test_urls(spark):
