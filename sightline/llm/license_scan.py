@@ -60,15 +60,20 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
 
 
+def _words(unit: Column) -> Column:
+    return F.split(_normal(unit), " ")
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line (from 0; -1: the whole text), license, variant, size, dice of each match."""
     known = template_table(docs.sparkSession, templates, threshold)
     most = max([1, *(len(bigram_set(t)) for texts in templates.values() for t in texts)]) * (2 - threshold) / threshold
     lines = F.split("text", "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
-    units = docs.filter("text IS NOT NULL").select("doc_id", F.inline(F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit"))), whole)))
-    # a set of n bigrams has n + 1 words or more; a line can repeat its bigrams, so only the lower bound prunes by words
-    words = units.withColumn("words", F.split(_normal(F.col("unit")), " ")).filter(F.size("words") > 1)
+    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), _words(F.col("text")).alias("words")))).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>"))
+    # words are made inside the generator, so that no filter below makes them a second time
+    units = docs.filter("text IS NOT NULL").select("doc_id", F.inline(F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), _words(x).alias("words"))), whole)))
+    # n distinct words make n - 1 distinct bigrams or more, so long units go before their bigrams are built
+    words = units.filter((F.size("words") > 1) & (F.size(F.array_distinct("words")) - 1 <= F.lit(math.floor(most + 1e-9))))
     grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     sized = words.select("doc_id", "line", grams.alias("grams")).withColumn("size", F.size("grams")).filter(F.col("size") <= F.lit(math.floor(most + 1e-9)))
     both = sized.join(known, "size").withColumn("dice", 2 * F.size(F.array_intersect("grams", "template")) / (F.col("size") + F.col("template_size")))
