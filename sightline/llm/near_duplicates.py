@@ -307,6 +307,11 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     links = materialize(verify(materialize(surviving(first), "pairs"), texts, p), "links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
+    def with_links(found: DataFrame) -> DataFrame:
+        """Components after further links: the stars so far stand for the links that made them."""
+        stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return components(stars.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
     # In runs that still hold several components, every set is paired with the one that shares most
     # with others: the text that a group was copied from, as a rule. What this leaves is few.
     rows = _open_rows(shared.select("h", "id", "n"), joined)
@@ -314,16 +319,18 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
         weight = rows.groupBy("id").agg(F.sum("m").alias("weight"))
         heavy = rows.join(weight, "id").groupBy("h").agg(F.max_by(F.struct("id", "component"), F.struct("weight", "id")).alias("center"))
         around = rows.join(heavy, "h").filter("component <> center.component").select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct()
-        links = materialize(links.unionByName(verify(materialize(surviving(around), "pairs"), texts, p)), "links")
-        joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = materialize(verify(materialize(surviving(around), "pairs"), texts, p), "links")
+        if found.isEmpty():
+            break  # the same centers would come up again
+        joined = with_links(found)
         rows = _open_rows(rows.select("h", "id", "n"), joined)
     chunked = rows.withColumn("chunks", F.ceil(F.col("m") / p.tile)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component")
     placed = tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
     counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
-    more = verify(materialize(counted, "pairs"), texts, p)
+    more = materialize(verify(materialize(counted, "pairs"), texts, p), "links")
 
-    final = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
+    final = (joined if more.isEmpty() else with_links(more)).withColumnRenamed("node", "id")
     of_class = classes.join(final, "id", "left").select(*sig, F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     small = feats.select("doc_id", *sig)
     return small.join(of_class, sig, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
