@@ -38,13 +38,15 @@ def resolve_revisits(records: DataFrame, spans: int = 4096) -> DataFrame:
     ends = records.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     width = max(1, -(-((ends["b"] or 0) - (ends["a"] or 0) + 1) // spans))
     rows = records.select("record_id", "ts", "kind", "etag", "last_modified", "digest", "headers", canonical_url(F.col("url")).alias("canonical_url"), F.floor((F.col("ts") - F.lit(ends["a"])) / width).alias("bucket"))
+    # rows without a URL or time have nothing to meet, so no join or window sees them
+    lacking = F.col("canonical_url").isNull() | F.col("ts").isNull()
     response = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
     newest = lambda c: F.max_by(c, F.struct(c["ts"], c["record_id"]))  # noqa: E731  maps have no order
 
-    whole = rows.withColumn("response", response)
-    last = whole.filter("response IS NOT NULL AND canonical_url IS NOT NULL").groupBy("canonical_url", "bucket").agg(newest(F.col("response")).alias("last"))
+    whole = rows.filter(~lacking).withColumn("response", response)
+    last = whole.filter("response IS NOT NULL").groupBy("canonical_url", "bucket").agg(newest(F.col("response")).alias("last"))
     # every bucket of a revisit takes part, also where no response lies
-    asked = rows.filter("kind = 'revisit' AND canonical_url IS NOT NULL").select("canonical_url", "bucket", F.lit(None).cast(last.schema["last"].dataType).alias("last")).dropDuplicates(["canonical_url", "bucket"])
+    asked = whole.filter("kind = 'revisit'").select("canonical_url", "bucket", F.lit(None).cast(last.schema["last"].dataType).alias("last")).dropDuplicates(["canonical_url", "bucket"])
     by_bucket = Window.partitionBy("canonical_url").orderBy("bucket")
     carried = (
         last.unionByName(asked).groupBy("canonical_url", "bucket").agg(F.first("last", ignorenulls=True).alias("last"))
@@ -53,12 +55,14 @@ def resolve_revisits(records: DataFrame, spans: int = 4096) -> DataFrame:
     )
     earlier = Window.partitionBy("canonical_url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     r, same = F.col("found"), lambda x: F.col(x).isNull() | r[x].isNull() | (F.col(x) == r[x])
-    found = whole.join(carried, ["canonical_url", "bucket"], "left").withColumn("found", F.coalesce(newest(F.col("response")).over(earlier), "carried"))
+    found = whole.join(carried, ["canonical_url", "bucket"], "left").withColumn("found", F.coalesce(newest(F.col("response")).over(earlier), "carried")).filter("kind = 'revisit'")
+    wanted = [*rows.columns, "found"]
+    found = found.select(wanted).unionByName(rows.filter(lacking & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(found.schema["found"].dataType)).select(wanted))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     renewed = F.map_filter(F.coalesce("headers", none), lambda k, _: F.lower(k).isin(*RENEWED))
     stored = F.map_filter(F.coalesce(r["headers"], none), lambda k, _: ~F.array_contains(F.map_keys(renewed), k))
     status = F.when(r.isNull(), "no_response").when(same("etag") & same("last_modified") & same("digest"), "resolved").otherwise("validator_mismatch")
-    return found.filter("kind = 'revisit'").select("record_id", "canonical_url", "ts", status.alias("status"), F.when(status == "resolved", r["record_id"]).alias("response_id"), F.when(status == "resolved", F.map_concat(stored, renewed)).alias("headers"))
+    return found.select("record_id", "canonical_url", "ts", status.alias("status"), F.when(status == "resolved", r["record_id"]).alias("response_id"), F.when(status == "resolved", F.map_concat(stored, renewed)).alias("headers"))
 
 
 CAPTURES = 4

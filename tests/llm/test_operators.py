@@ -133,6 +133,19 @@ def test_warc(spark):
     assert warc_revisit.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_warc_nulls(spark):
+    rows = [
+        (1, None, 10, "response"), (2, None, 20, "revisit"), (3, None, None, "response"), (4, None, None, "revisit"),
+        (5, "http://a.com/x", None, "response"), (6, "http://a.com/x", None, "revisit"), (7, "http://a.com/x", 20, "revisit"),
+        (8, "http://a.com/y", 10, "response"), (9, "http://a.com/y", None, "revisit"), (10, "http://a.com/y", 20, "revisit"),
+    ]
+    schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    records = spark.createDataFrame([(*r, "e", None, None, None) for r in rows], schema)
+    for spans in (1, 4096):
+        found = {r.record_id: (r.status, r.response_id) for r in warc_revisit.resolve_revisits(records, spans).collect()}
+        assert found == {k: ("no_response", None) for k in (2, 4, 6, 7, 9)} | {10: ("resolved", 8)}
+
+
 def test_licenses(spark, empty):
     rows = [(1, "x\nLICENSED under  the apache license, version 2.0!\ny", "a"), (2, None, "a"), (3, "Released under the MIT License.", "b"), (4, "nothing here", "b")]
     found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, size string")).collect()
