@@ -3,8 +3,9 @@
 Every document's character-class and common-word histograms are compared with the reference of its
 language by Jensen-Shannon distance (base 2, 0 to 1). The references are sums over all documents.
 
-Defined cases: a null text has no words and fails the base rules; a null or rare language is held
-against the pooled reference of all documents; documents shorter than the length guards skip the
+Defined cases: a null text has no words and fails the base rules; a null or empty language is held
+against the pooled reference of all documents; a language with fewer words than a reference needs
+skips the distances; documents shorter than the length guards skip the
 test that the guard protects; repeated rows are judged each for itself; an empty table gives an
 empty result; other columns are ignored, so their names cannot clash.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SPACES, table
+from sightline.llm.common import SPACES, materialize, table
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes by byte; UTF-8 lead bytes of non-ASCII characters are one class and
@@ -34,11 +35,12 @@ PLAIN = bytes.maketrans(b".,;:!?'\"()-", b" " * 11)
 @dataclass(frozen=True)
 class QualityParams:
     """``common_share``: a word is common in a language if it makes up this share of its words, so
-    a language has 1 / common_share common words at most. ``lang_share``: a language has a reference
-    of its own from this share of the documents on, so there are 1 / lang_share references at most."""
+    a language has 1 / common_share common words at most. ``lang_words``: a language has a reference
+    from so many words on. ``held_bytes``: references beyond this size are joined, not held by tasks."""
 
     common_share: float = 0.005
-    lang_share: float = 0.01
+    lang_words: int = 5_000
+    held_bytes: int = 4_000_000
     min_chars: int = 200
     min_words: int = 80
     max_char_distance: float = 0.25
@@ -120,39 +122,73 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def references(docs: DataFrame, p: QualityParams) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """Language -> class histogram, index of common words, their histogram with all other words last."""
+def references(docs: DataFrame, p: QualityParams) -> DataFrame:
+    """lang, class histogram, common words, their histogram with all other words last. The pooled
+    reference has the language POOLED."""
     sums = docs.select("lang", "text").mapInPandas(_counts, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).persist()
     try:
-        fixed = sums.filter("kind <> 'w'").groupBy("lang").agg(
-            F.max(F.when(F.col("kind") == "d", F.col("n"))).alias("docs"),
-            F.max(F.when(F.col("kind") == "n", F.col("n"))).alias("words"),
-            *[F.max(F.when((F.col("kind") == "c") & (F.col("key") == str(k)), F.col("n"))).alias(f"c{k}") for k in range(len(CLASSES) + 1)],
-        )
-        pooled = fixed.agg(*[F.sum(c).alias(c) for c in fixed.columns[1:]]).first()
-        if not pooled["docs"]:
-            return {}
-        # at most 1 / lang_share rows
-        rows = {r["lang"]: r for r in fixed.filter((F.col("docs") >= p.lang_share * pooled["docs"]) & (F.col("lang") != POOLED)).collect()} | {POOLED: pooled}
-        words = sums.filter("kind = 'w'")
-        totals = F.create_map(*[F.lit(x) for lang, r in rows.items() for x in (lang, r["words"] or 0)])
-        # at most 1 / common_share rows for each reference
-        own = words.filter(F.col("n") >= p.common_share * totals[F.col("lang")]).select("lang", "key", "n").collect()
-        every = words.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.common_share * (pooled["words"] or 0)).collect()
+        kinds = range(len(CLASSES) + 1)
+        fixed = materialize(sums.filter("kind <> 'w'").groupBy("lang").agg(
+            F.max(F.when(F.col("kind") == "n", F.col("n"))).alias("total"),
+            *[F.max(F.when((F.col("kind") == "c") & (F.col("key") == str(k)), F.col("n"))).alias(f"c{k}") for k in kinds],
+        ), "totals")
+        pooled = fixed.agg(*[F.sum(c).alias(c) for c in fixed.columns[1:]]).select(F.lit(POOLED).alias("lang"), "*").filter("total IS NOT NULL")
+        heads = fixed.filter((F.col("total") >= p.lang_words) & (F.col("lang") != POOLED)).unionByName(pooled)
+        words = sums.filter("kind = 'w'").select("lang", "key", "n")
+        all_words = words.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "key", "n")
+        # at most 1 / common_share rows for each language
+        shares = lambda w, of: w.join(of.select("lang", "total"), "lang").filter(F.col("n") >= p.common_share * F.col("total")).drop("total")
+        common = shares(words.filter(F.col("lang") != POOLED), heads.filter(F.col("lang") != POOLED)).unionByName(shares(all_words, pooled))
+        lists = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("found"))
+        other = F.col("total") - F.coalesce(F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
+        return materialize(heads.join(lists, "lang", "left").select(
+            "lang", F.array(*[F.coalesce(f"c{k}", F.lit(0)) for k in kinds]).alias("classes"),
+            F.coalesce(F.col("found.key"), F.array().cast("array<string>")).alias("words"),
+            F.concat(F.coalesce(F.col("found.n"), F.array().cast("array<bigint>")), F.array(other)).alias("counts"),
+        ), "references")
     finally:
         sums.unpersist()
-    refs = {}
-    for lang, r in rows.items():
-        found = sorted((x["key"], x["n"]) for x in (every if lang == POOLED else [x for x in own if x["lang"] == lang]))
-        hist = np.array([n for _, n in found] + [(r["words"] or 0) - sum(n for _, n in found)], float)
-        refs[lang] = np.array([r[f"c{k}"] or 0 for k in range(len(CLASSES) + 1)], float), {w.encode(): i for i, (w, _) in enumerate(found)}, hist
-    return refs
+
+
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+
+
+def as_reference(r) -> Reference:
+    return np.array(r["classes"], float), {w.encode(): i for i, w in enumerate(r["words"])}, np.array(r["counts"], float)
+
+
+def held(refs: DataFrame, p: QualityParams) -> dict[str, Reference] | None:
+    """The references by language, or None if they are too large to be held by every task."""
+    size = refs.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 16 * F.size("words") + 200)).first()[0] or 0
+    return {r["lang"]: as_reference(r) for r in refs.collect()} if size <= p.held_bytes else None
+
+
+def with_reference(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as ``d``, with the reference of its language as ``ref``."""
+    rows = docs.select(F.struct("*").alias("d"))
+    key = F.when(F.col("d.lang").isNull(), POOLED).otherwise(F.col("d.lang"))
+    return rows.join(refs.select(F.col("lang").alias("key"), F.struct("lang", "classes", "words", "counts").alias("ref")), key == F.col("key"), "left").select("d", "ref")
+
+
+def last_reference():
+    """A function of joined references that keeps the last one it made."""
+    lang = made = None
+
+    def of(r) -> Reference | None:
+        nonlocal lang, made
+        if r is None:
+            return None
+        if made is None or lang != r["lang"]:
+            lang, made = r["lang"], as_reference(r)
+        return made
+
+    return of
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def judge(doc_id, text: str | None, lang: str | None, refs: dict, p: QualityParams) -> tuple:
+def judge(doc_id, text: str | None, ref: Reference | None, p: QualityParams) -> tuple:
     text = text or ""
     raw = text.encode()
     words = raw.split()
@@ -161,8 +197,8 @@ def judge(doc_id, text: str | None, lang: str | None, refs: dict, p: QualityPara
     repeated = repeated_words(words)
     failed = n < 50 or 100 * repeated > 50 * n
     chars = word = None
-    if refs:
-        classes, index, hist = refs.get(lang or POOLED) or refs[POOLED]
+    if ref:
+        classes, index, hist = ref
         if len(text) >= p.min_chars:
             chars = distance(class_histogram(raw), classes)
         if n >= p.min_words:
@@ -178,26 +214,45 @@ def judge(doc_id, text: str | None, lang: str | None, refs: dict, p: QualityPara
 def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """Base figures, distances and the verdict ``kept`` of each document (doc_id, text, lang)."""
     refs = references(docs, params)
+    by_lang = held(refs, params)
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [judge(*r, refs, params) for r in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True)]
+            rows = [judge(i, t, by_lang.get(lang or POOLED), params) for i, t, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True)]
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text", "lang").mapInPandas(run, SCHEMA)
+    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = last_reference()
+        for batch in batches:
+            rows = [judge(i, t, of(r), params) for i, t, r in zip(batch["doc_id"], batch["text"], batch["ref"], strict=True)]
+            yield pd.DataFrame(rows, columns=names)
+
+    docs = docs.select("doc_id", "text", "lang")
+    if by_lang is not None:
+        return docs.mapInPandas(run, SCHEMA)
+    return with_reference(docs, refs).select("d.doc_id", "d.text", "ref").mapInPandas(run_joined, SCHEMA)
 
 
 def keep_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are, without a shuffle."""
+    """The rows of ``docs`` that the rules keep, all columns as they are, without a shuffle while
+    the references are small."""
     refs = references(docs, params)
+    by_lang = held(refs, params)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, langs in batches:
-            yield pd.Series([judge(None, t, lang, refs, params)[7] for t, lang in zip(texts, langs, strict=True)], dtype=bool)
+            yield pd.Series([judge(None, t, by_lang.get(lang or POOLED), params)[7] for t, lang in zip(texts, langs, strict=True)], dtype=bool)
+
+    def run_joined(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        of = last_reference()
+        for texts, found in batches:
+            given = [None if r["lang"] is None else r for r in found.to_dict("records")]
+            yield pd.Series([judge(None, t, of(r), params)[7] for t, r in zip(texts, given, strict=True)], dtype=bool)
 
-    kept = F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)
-    return docs.filter(kept("text", "lang"))
+    if by_lang is not None:
+        return docs.filter(F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)("text", "lang"))
+    return with_reference(docs, refs).filter(F.pandas_udf(run_joined, "boolean", F.PandasUDFType.SCALAR_ITER)("d.text", "ref")).select("d.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,30 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_languages(spark):
+    """A clean language far below any share of the documents is held against its own words."""
+    rng = random.Random(5)
+
+    def text(letters):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)]
+        return lambda: " ".join(rng.choice(vocabulary) for _ in range(400))
+
+    latin, greek, russian = text("abcdefghijklmnopqrstuvwxyz"), text("αβγδεζηθικλμνξοπρστυφχψω"), text("абвгдежзиклмнопрст")
+    rows = [(k, latin(), "en" if k % 9 else None) for k in range(3000)]
+    rows += [(k, greek(), "el") for k in range(6000, 6021)]  # 0.7 % of the documents
+    rows += [(7000, russian(), "ru"), (7001, latin(), "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    small, joined = quality.QualityParams(), quality.QualityParams(held_bytes=0)
+    found = {r.doc_id: r for r in quality.quality_rules(docs, small).collect()}
+    assert all(found[k].kept for k, _, _ in rows if k != 7001) and not found[7001].kept
+    assert (found[7000].char_distance, found[7000].word_distance) == (None, None)
+    assert found[6000].word_distance < 0.35 and found[0].char_distance is not None
+    assert found == {r.doc_id: r for r in quality.quality_rules(docs, joined).collect()}
+    for p in (small, joined):
+        kept = quality.keep_quality(docs, p)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(k for k, r in found.items() if r.kept)
+
+
 @pytest.mark.parametrize("shard", [1_500_000, 300])
 def test_suffix_dedup(docs, empty, shard):
     p = suffix_dedup.RepeatParams(shard_bytes=shard, passes_bytes=700, chunk=1024)
