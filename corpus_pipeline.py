@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sightline.llm.common import materialize, table
 from sightline.llm.decontaminate import contaminated, find_contamination, n_hit_of, without_spans
 from sightline.llm.line_dedup import drop_boilerplate
-from sightline.llm.near_duplicates import near_duplicates
+from sightline.llm.near_duplicates import linked_rows, text_key
 from sightline.llm.packing import default_tokenizer, pack
 from sightline.llm.quality import keep_quality
 
@@ -32,22 +32,27 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one that gives the group its id. Of rows that
-    repeat its id one stays."""
+    repeat its id and text one stays; without an id, of those that have words."""
+    rows = materialize(linked_rows(docs), "linked")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    pair = [F.col("doc_id").alias("of_id"), F.col("key").alias("of_key")]
     # what goes is a small part as a rule; once written its size is known, and Spark joins accordingly
-    gone = materialize(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    gone = materialize(rows.filter(F.col("first").isNotNull() & ~same).select(*pair).distinct(), "gone")
+    again = rows.groupBy("doc_id", "key").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c > 1 AND (doc_id IS NOT NULL OR n > 0)")
+    repeated = materialize(again.select(*pair), "repeated")
+    on = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+    kept = docs.select(*COLUMNS, text_key().alias("key")).join(gone, on, "left_anti")
+    once = kept.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "key"])
+    return kept.join(repeated, on, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; shorter benchmark passages are cut out of the others."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", n_hit_of()).filter("n_hit > 0")
-    hits = materialize(found.select("doc_id", "spans", contaminated(F.col("n_hit"), F.col("n_words")).alias("bad")), "hits")
-    cut = docs.join(hits, "doc_id", "left").filter(~F.coalesce("bad", F.lit(False)))
-    text = F.when(F.col("spans").isNotNull(), without_spans("text", "spans")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    # ids go as strings, as pandas turns long columns with nulls into floats
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.col("doc_id").cast("string").alias("id"), "lang", "source")
+    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), carried=("id", "lang", "source")).withColumn("n_hit", n_hit_of())
+    cut = found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).withColumn("text", without_spans("text", "spans"))
+    return cut.withColumn("doc_id", F.col("id").cast("long")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,11 +164,12 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """doc_id, text, n_words, spans (word positions, end excluded), items of each document."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams(), carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_words, spans (word positions, end excluded), items of each document, and its
+    ``carried`` string columns."""
     spark = docs.sparkSession
-    found = docs.select("doc_id", "text").withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<struct<a:long,b:long>>"), "items": F.array().cast("array<long>")})
-    schema = "doc_id long, text string, n_words long, spans array<struct<a:long,b:long>>, items array<long>"
+    found = docs.select("doc_id", "text", *carried).withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<struct<a:long,b:long>>"), "items": F.array().cast("array<long>")}).select("doc_id", "text", "n_words", "spans", "items", *carried)
+    schema = "doc_id long, text string, n_words long, spans array<struct<a:long,b:long>>, items array<long>" + "".join(f", {c} string" for c in carried)
     shards = list(automata(benchmark, params)) or [SuffixAutomaton([], params.window)]
     for shard in shards:
         held = spark.sparkContext.broadcast(shard)
@@ -177,12 +178,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Decontamin
             auto = held.value
             for batch in batches:
                 rows = []
-                for doc_id, text, _, spans, items in batch.itertuples(index=False):
+                for doc_id, text, _, spans, items, *rest in batch.itertuples(index=False):
                     words = words_of(text)
                     hit, new = auto.hits(words)
                     for s in spans:
                         hit[s["a"] : s["b"]] = True
-                    rows.append((doc_id, text, len(words), [{"a": a, "b": b} for a, b in runs(hit)], sorted(new | set(items))))
+                    rows.append((doc_id, text, len(words), [{"a": a, "b": b} for a, b in runs(hit)], sorted(new | set(items)), *rest))
                 yield pd.DataFrame(rows, columns=list(batch.columns))
 
         found = found.mapInPandas(run, schema)

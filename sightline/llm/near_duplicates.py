@@ -17,7 +17,9 @@ coordinate minima, for single points and for the corner points of tree nodes ali
 No link between different sets is lost, and no group is expanded into all of its pairs.
 
 Defined cases: fewer words than a shingle are one shingle; a null or wordless text is an empty set
-and linked with nothing; equal texts are always linked; repeated rows give repeated results; an empty
+and linked with nothing; equal texts are always linked; repeated rows give repeated results; a set is known by one of its rows,
+so that null ids and ids of several texts lose no link, and a null id names a class or component only
+if it has no other; an empty
 table gives an empty result; other columns are ignored, so their names cannot clash.
 """
 
@@ -103,12 +105,12 @@ def _features(p: JaccardParams, rank: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
                 s = shingles(text, p.words)
                 order = np.lexsort((s, rank[(s % np.uint64(p.buckets)).astype(np.int64)]))[: prefix_length(len(s), p.percent) if len(s) else 0]
                 point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups).clip(max=FULL).astype(np.uint8)
-                rows.append((doc_id, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + BASE).sum(dtype=np.uint64).astype(np.int64)), s[order].astype(np.int64), point.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "sig_a", "sig_b", "prefix", "point"])
+                rows.append((doc_id, key, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + BASE).sum(dtype=np.uint64).astype(np.int64)), s[order].astype(np.int64), point.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "sig_a", "sig_b", "prefix", "point"])
 
     return run
 
@@ -275,29 +277,35 @@ def _open_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return materialize(known.join(open_runs, "h"), "open")
 
 
-def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
+def text_key(text: str = "text"):
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """For each row of ``docs``: doc_id, key (``text_key``), n, class_id, and ``first`` (doc_id, row,
+    key) of the row that names its component; the last two are null for empty sets."""
     p = params
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", text_key().alias("key"), "text")
     counts = docs.select("text").mapInPandas(_frequencies(p.words, p.buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most p.buckets rows
     frequency = np.zeros(p.buckets, np.int64)
     for r in counts:
         frequency[r["bucket"]] = r["n"]
     rank = np.argsort(np.argsort(frequency, kind="stable"), kind="stable").astype(np.uint32)
 
-    feats = docs.mapInPandas(_features(p, rank), "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, point binary")
-    feats = materialize(feats.withColumn("row", F.monotonically_increasing_id()), "sets")
+    feats = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_features(p, rank), "doc_id string, key long, n long, sig_a long, sig_b long, prefix array<long>, point binary")
+    feats = materialize(feats.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "sets")
     sets = feats.filter("n > 0")
     sig = ["sig_a", "sig_b", "n"]
-    classes = materialize(sets.groupBy(*sig).agg(F.min(F.struct("doc_id", "row")).alias("rep")).select(*sig, F.col("rep.doc_id").alias("id"), F.col("rep.row").alias("rep_row")), "classes")
-    reps = sets.join(classes, sig).filter("row = rep_row").select("id", "n", "prefix", "point")
+    classes = materialize(sets.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "key")).alias("rep")).select(*sig, F.col("rep.row").alias("id"), "rep"), "classes")
+    reps = sets.join(classes, sig).filter("row = id").select("id", "n", "prefix", "point")
     rows = reps.select("id", "n", F.explode("prefix").alias("h")).repartition("h").sortWithinPartitions("h", "n", "id")
     shared = materialize(rows.mapInPandas(_pivots(p.percent), "h long, id long, n long, pivot long"), "shared")
 
     members = shared.select("id").distinct()
-    points = materialize(sets.join(classes.select("id", F.col("rep_row").alias("row")), "row").select("id", "n", "point").join(members, "id", "left_semi"), "points")
-    rep_rows = members.withColumnRenamed("id", "doc_id")
-    texts = materialize(docs.join(rep_rows, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "texts")
+    points = materialize(sets.join(classes.select("id", F.col("id").alias("row")), "row").select("id", "n", "point").join(members, "id", "left_semi"), "points")
+    rep_rows = classes.join(members, "id", "left_semi").select("id", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.key").alias("rep_key"))
+    texts = materialize(docs.join(rep_rows, F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("key") == F.col("rep_key"))).select("id", "text").dropDuplicates(["id"]), "texts")
 
     def surviving(pairs: DataFrame) -> DataFrame:
         a, b = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
@@ -331,9 +339,15 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     more = materialize(verify(materialize(counted, "pairs"), texts, p), "links")
 
     final = (joined if more.isEmpty() else with_links(more)).withColumnRenamed("node", "id")
-    of_class = classes.join(final, "id", "left").select(*sig, F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    small = feats.select("doc_id", *sig)
-    return small.join(of_class, sig, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = placed.groupBy("component").agg(F.min("rep").alias("first"))
+    of_class = placed.join(named, "component").select(*sig, F.col("rep.doc_id").alias("class_id"), "first")
+    return feats.select("doc_id", "key", *sig).join(of_class, sig, "left").select("doc_id", "key", "n", "class_id", "first")
+
+
+def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
+    return linked_rows(docs, params).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

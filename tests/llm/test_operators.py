@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from sightline.llm import decontaminate, induced, language_id, license_scan, line_dedup, near_duplicates, packing, quality, suffix_dedup, url_filter, warc_revisit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,6 +141,29 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_stages_without_ids(spark, tmp_path):
+    """Null and repeated doc_ids: no link is lost, one row of each group stays, and contaminated rows go."""
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    base, other, apart, passage = words(120), words(120), words(120), words(30)
+    near = lambda w, k: " ".join([*w[:-k], *words(k)])
+    big = 2**53 + 1
+    rows = [(None, " ".join(base)), (4, " ".join(base)), (big, " ".join(base)), (5, near(base, 2)), (None, near(base, 3))]  # one group: 4 stays
+    rows += [(7, " ".join(other)), (7, " ".join(apart)), (8, near(other, 1)), (9, near(apart, 1)), (7, " ".join(apart))]  # two groups with one id
+    rows += [(None, "lonely " * 3), (None, "lonely " * 3), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = Counter((r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(docs).collect())
+    assert found == Counter([(None, 4)] * 2 + [(4, 4), (big, 4), (5, 4)] + [(7, 7)] * 3 + [(8, 7), (9, 7)] + [(None, None)] * 4)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.stage_near_duplicates(spark, docs, "").collect())
+    assert left == Counter([rows[1], rows[5], rows[6], rows[10], rows[12], rows[13]])
+
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = [(None, " ".join(passage + words(10))), (None, "a b"), (2, " ".join(passage)), (2, "c d"), (big, "e f"), (None, None), (3, " ".join([*words(600), *passage[:13]]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in given], docs.schema).coalesce(1)
+    left = Counter((r.doc_id, r.text, r.lang) for r in corpus_pipeline.stage_decontaminate(spark, docs, str(tmp_path)).collect())
+    assert left == Counter([(i, t, "en") for i, t in (given[1], given[3], given[4], given[5])] + [(3, " ".join(given[6][1].split()[:600]) + " ", "en")])
+
+
 def test_warc(spark):
     rows = [
         (1, "http://www.A.com/x/", 10, "response", "e1", None, None, {"date": "d1", "content-type": "t"}),
