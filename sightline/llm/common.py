@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: The ASCII white space that separates words; ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Only a session of one machine may name none."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="sightline-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -30,4 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := _paths.pop(df, None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)

@@ -6,13 +6,16 @@ coordinate minima, for single points and for the corner points of tree nodes ali
 
 1. Equal sets become one class.
 2. Sets that reach the threshold share k shingles among the first n - ceil(t n) + k of any common
-   order; k is 1 + n / 20, and rare hash buckets come first, so that frequent passages seldom decide.
-3. In each group of sets with a common prefix shingle, every set is paired with a pivot of fitting
+   order, with k = 1 + n / 20. Each set counts how many of its first shingles, in order of hash, occur
+   in any other set; those that count fewer than k are linked with nothing (``shared_counts``). The
+   same again for all shingles of the sets that are left, of which ceil(t n) must occur elsewhere.
+3. The sets that are left take their first shingles again, those that many of them share last.
+   In each group of sets with a common first shingle, every set is paired with a pivot of fitting
    size; pairs that survive the bound are verified, which joins most near copies at once.
 4. The same with the set that shares most with others as the center of each group.
-5. Where sets of different components still share a prefix shingle, an R-tree over the points, in
-   tiles of bounded size, finds the pairs whose bound suffices; those that come up in k groups are
-   verified too.
+5. Where sets of different components still share a first shingle, an R-tree over the points finds
+   the pairs whose bound suffices; those that come up in k groups are verified too. Long groups are
+   cut into chunks, the tree's upper nodes: only chunks whose corners reach the bound meet.
 
 No link between different sets is lost, and no group is expanded into all of its pairs.
 
@@ -33,9 +36,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import materialize, table
+from sightline.llm.common import materialize, release, table
 from sightline.llm.components import components
-from sightline.llm.hashing import BASE, PartHashes, mix
+from sightline.llm.hashing import PartHashes, mix
+from sightline.llm.shared_shingles import BLOB, SET, answered, place, records, sharing_rows
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _space = np.zeros(256, bool)
@@ -45,14 +49,18 @@ _place = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) * np.uint64
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """``buckets`` bounds the frequencies on the driver, ``tile`` the sets that meet in one tree."""
+    """``held`` bounds the hashes that a task sorts at once, ``heavy`` those whose frequencies are sent
+    to all tasks (16 bytes each), ``tile`` the sets that meet in one tree, ``run`` the texts that are
+    compared with one copy of another."""
 
     words: int = 5
     percent: int = 75
     groups: int = 256
-    buckets: int = 65536
+    held: int = 2**21
+    heavy: int = 2**20
     tile: int = 2000
     leaf: int = 32
+    run: int = 256
     star_rounds: int = 2
 
 
@@ -89,56 +97,81 @@ def needed(a, b, percent: int):
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def _frequencies(words: int, buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount((shingles(text, words) % np.uint64(buckets)).astype(np.int64), minlength=buckets) if text else 0
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
-
-    return run
-
+def _features(p: JaccardParams, buckets: int, heavy: np.ndarray, often: np.ndarray):
+    """id, n, the first shingles (those that many sets share last), into how many parts the sets of each
+    shingle are dealt, and the point of each text."""
 
-def _features(p: JaccardParams, rank: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
+            for i, text in zip(batch["id"], batch["text"], strict=True):
                 s = shingles(text, p.words)
-                order = np.lexsort((s, rank[(s % np.uint64(p.buckets)).astype(np.int64)]))[: prefix_length(len(s), p.percent) if len(s) else 0]
+                at = place(s, buckets)
+                found = np.searchsorted(heavy, at).clip(max=max(0, len(heavy) - 1))
+                rank = np.where(heavy[found] == at, often[found], 0) if len(heavy) else np.zeros(len(s), np.int64)
+                order = np.lexsort((s, rank))[: prefix_length(len(s), p.percent)]
+                salts = 1 + rank[order] // p.tile
                 point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups).clip(max=FULL).astype(np.uint8)
-                rows.append((doc_id, key, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + BASE).sum(dtype=np.uint64).astype(np.int64)), s[order].astype(np.int64), point.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "sig_a", "sig_b", "prefix", "point"])
+                rows.append((i, len(s), s[order].astype(np.int64), salts, point.tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "n", "prefix", "salts", "point"])
 
     return run
 
 
+def heaviest(answers: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the hashes that most sets share, in order, with how many do; ``most`` at most: the
+    least number of sets is raised until they fit."""
+    pairs = answers.filter("flush = -1").select("data")
+
+    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(64, np.int64)
+        for batch in batches:
+            for raw in batch["data"]:
+                total += np.bincount(np.log2(np.frombuffer(raw, np.uint64).reshape(2, -1)[1].astype(float)).astype(int), minlength=64)
+        yield pd.DataFrame({"power": np.arange(64), "n": total})
+
+    sizes = np.zeros(64, np.int64)
+    for r in pairs.mapInPandas(histogram, "power int, n long").groupBy("power").agg(F.sum("n").alias("n")).collect():
+        sizes[r["power"]] = r["n"]
+    power = next(k for k in range(65) if sizes[k:].sum() <= most)
+    bound = max(least, 2**power)
+
+    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.frombuffer(raw, np.uint64).reshape(2, -1) for raw in batch["data"]]
+            yield pd.DataFrame({"data": [x[:, x[1] >= bound].tobytes() for x in found]})
+
+    parts = [np.frombuffer(r["data"], np.uint64).reshape(2, -1) for r in pairs.mapInPandas(frequent, "data binary").toLocalIterator()]  # most hashes at most
+    at, often = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
+    order = np.argsort(at)
+    return at[order], often[order].astype(np.int64)
+
+
 def _pivots(percent: int):
-    """Rows in order of (h, n, id): those whose h occurs twice, each with the pivot of its run, the
-    first set whose size still fits. Only the last row is held between batches."""
+    """Rows in order of (h, salt, n, id): those whose h may occur twice, each with the pivot of its run,
+    the first set whose size still fits. Only the last row is held between batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = last = None  # the last row, not yet given out; (h, pivot, its n)
+        held = last = None  # the last row, not yet given out; (h, salt, pivot, its n)
         for batch in batches:
-            h, n, ids = (batch[c].to_numpy() for c in ("h", "n", "id"))
+            h, salt, salts, n, ids = (batch[c].to_numpy() for c in ("h", "salt", "salts", "n", "id"))
             if held is not None:
-                h, n, ids = (np.concatenate(([x], a)) for x, a in zip(held, (h, n, ids), strict=True))
+                h, salt, salts, n, ids = (np.concatenate(([x], a)) for x, a in zip(held, (h, salt, salts, n, ids), strict=True))
             if not len(h):
                 continue
-            same = np.concatenate(([last is not None and last[0] == h[0]], h[1:] == h[:-1]))
-            shared = same | np.concatenate((h[1:] == h[:-1], [False]))
+            follows = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
+            same = np.concatenate(([last is not None and last[:2] == (h[0], salt[0])], follows))
+            shared = same | np.concatenate((follows, [False])) | (salts > 1)
             out = []
             for k in np.flatnonzero(shared).tolist():
-                if last is None or last[0] != h[k] or 100 * last[2] < percent * n[k]:
-                    last = (h[k], ids[k], n[k])
-                out.append((h[k], ids[k], n[k], last[1]))
+                if last is None or last[:2] != (h[k], salt[k]) or 100 * last[3] < percent * n[k]:
+                    last = (h[k], salt[k], ids[k], n[k])
+                out.append((h[k], ids[k], n[k], last[2]))
             # the last row of the batch comes again with the next one unless it was given out
             if shared[-1]:
                 held = None
             else:
-                held, last = (h[-1], n[-1], ids[-1]), None
+                held, last = (h[-1], salt[-1], salts[-1], n[-1], ids[-1]), None
             yield pd.DataFrame(out, columns=["h", "id", "n", "pivot"])
 
     return run
@@ -246,9 +279,9 @@ def _tree_pairs(p: JaccardParams):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b). Texts travel to b's place, at most ``tile`` to each copy
+    """The linked ones of ``pairs`` (a, b). Texts travel to b's place, at most ``run`` to each copy
     of b's text, and are compared with it as they stream by."""
-    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / p.tile).alias("copies"))
+    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / p.run).alias("copies"))
     goes = pairs.join(counts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("copies")).alias("salt"), F.lit(1).alias("kind"))
     stays = counts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"))
     rows = goes.unionByName(stays).join(texts, "id").repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
@@ -277,6 +310,39 @@ def _open_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return materialize(known.join(open_runs, "h"), "open")
 
 
+def _corners(groups: int):
+    """The corner, the least size and (for a chunk of one component) the component of a chunk."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        points = np.frombuffer(b"".join(g["point"]), np.uint8).reshape(-1, groups)
+        return pd.DataFrame({"h": g["h"].iloc[:1], "chunk": g["chunk"].iloc[:1], "owner": g["owner"].iloc[:1], "least": [g["n"].min()], "corner": [points.max(axis=0).tobytes()]})
+
+    return run
+
+
+def _tiles(rows: DataFrame, points: DataFrame, p: JaccardParams) -> DataFrame:
+    """h, i, j, chunk, id, component of all open rows: a run of at most ``tile`` rows is one tile, of a
+    longer one the pairs of chunks whose corners reach the bound. A chunk has rows of one large
+    component, or of small ones, and chunks of one component never meet."""
+    columns = ("h", "i", "j", "chunk", "id", "component")
+    nothing = F.lit(0).cast("long")
+    short = rows.filter(F.col("m") <= p.tile).withColumns({"i": nothing, "j": nothing, "chunk": nothing})
+    long = rows.filter(F.col("m") > p.tile)
+    sizes = long.groupBy("h", "component").agg(F.count("*").alias("c"))
+    small = sizes.filter(F.col("c") <= p.tile // 4).groupBy("h").agg(F.ceil(F.sum("c") / p.tile).alias("groups"))
+    large = F.col("c") > p.tile // 4
+    chunk = F.when(large, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / p.tile)))).otherwise(F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("component"), "groups")))
+    placed = materialize(long.join(sizes, ["h", "component"]).join(small, "h", "left").select("h", "id", "component", chunk.alias("chunk"), F.when(large, F.col("component")).otherwise(F.lit(-1)).alias("owner")), "placed")
+    corners = placed.join(points.select("id", "n", "point"), "id").groupBy("h", "chunk").applyInPandas(_corners(p.groups), "h long, chunk long, owner long, least long, corner binary")
+    corners = materialize(corners, "corners")
+    a, b = (corners.select("h", F.col("chunk").alias(x), F.col("owner").alias(f"o{x}"), F.col("least").alias(f"n{x}"), F.col("corner").alias(f"c{x}")) for x in "ij")
+    meet = a.join(b, "h").filter("i <= j AND (oi <> oj OR oi = -1)").filter(_survives(p.percent, p.groups)("ci", "ni", "cj", "nj"))
+    meet = materialize(meet.select("h", "i", "j"), "meet")
+    left = placed.join(meet.withColumn("chunk", F.col("i")), ["h", "chunk"]).select(*columns)
+    right = placed.join(meet.filter("i < j").withColumn("chunk", F.col("j")), ["h", "chunk"]).select(*columns)
+    return short.select(*columns).unionByName(left).unionByName(right)
+
+
 def text_key(text: str = "text"):
     """What tells rows of one doc_id apart."""
     return F.xxhash64(text)
@@ -287,26 +353,43 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     key) of the row that names its component; the last two are null for empty sets."""
     p = params
     docs = docs.select("doc_id", text_key().alias("key"), "text")
-    counts = docs.select("text").mapInPandas(_frequencies(p.words, p.buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most p.buckets rows
-    frequency = np.zeros(p.buckets, np.int64)
-    for r in counts:
-        frequency[r["bucket"]] = r["n"]
-    rank = np.argsort(np.argsort(frequency, kind="stable"), kind="stable").astype(np.uint32)
-
-    feats = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_features(p, rank), "doc_id string, key long, n long, sig_a long, sig_b long, prefix array<long>, point binary")
-    feats = materialize(feats.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "sets")
-    sets = feats.filter("n > 0")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a word takes some six bytes, so this many buckets have about ``held`` first hashes each
+    at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(2**23, max(at_least, size // (16 * p.held)))
+    cut = lambda text: shingles(text, p.words)
+    first = lambda n: prefix_length(n, p.percent)
+
+    # sets that share too few of their first shingles with any other go
+    sent = materialize(docs.mapInArrow(records(buckets, cut, first, p.held), f"{SET}, {BLOB}"), "records")
+    feats = materialize(sent.filter("row IS NOT NULL").drop("flush", "bucket", "data"), "sets")
+    sharing = materialize(sharing_rows(sent.filter("row IS NULL"), answered(sent), lambda n: np.minimum(n, common_prefix(n))), "sharing")
+    release(sent)
     sig = ["sig_a", "sig_b", "n"]
+    sets = feats.filter("n > 0")
     classes = materialize(sets.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "key")).alias("rep")).select(*sig, F.col("rep.row").alias("id"), "rep"), "classes")
-    reps = sets.join(classes, sig).filter("row = id").select("id", "n", "prefix", "point")
-    rows = reps.select("id", "n", F.explode("prefix").alias("h")).repartition("h").sortWithinPartitions("h", "n", "id")
+    open_classes = sets.join(sharing, "row", "left_semi").select(*sig).distinct()
+    named = classes.join(open_classes, sig, "left_semi").select("id", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.key").alias("key"))
+    # the same text under the same doc_id stands for the set as well as its row does
+    some = docs.join(named, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep_doc"))).dropDuplicates(["key", "id"])
+    some = materialize(some.select("id", "text"), "texts")
+
+    # of all shingles of those that are left, enough for a link must occur elsewhere
+    again = some.select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("key"), "text")
+    sent = materialize(again.mapInArrow(records(buckets, cut, lambda n: n, p.held), f"{SET}, {BLOB}"), "records")
+    answers = materialize(answered(sent, p.leaf), "answers")
+    sharing = sharing_rows(sent.filter("row IS NULL"), answers, lambda n: -(-p.percent * n // 100))
+    ids = sent.filter("row IS NOT NULL").join(sharing, "row", "left_semi").select(F.col("key").alias("id"))
+    texts = materialize(some.join(ids, "id", "left_semi"), "texts")
+    release(sent, some)
+
+    heavy, often = heaviest(answers, p.leaf, p.heavy)
+    points = materialize(texts.mapInPandas(_features(p, buckets, heavy, often), "id long, n long, prefix array<long>, salts array<long>, point binary"), "points")
+    release(answers)
+    rows = points.select("id", "n", F.inline(F.arrays_zip(F.col("prefix").alias("h"), "salts"))).withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
+    rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "id")
     shared = materialize(rows.mapInPandas(_pivots(p.percent), "h long, id long, n long, pivot long"), "shared")
 
-    members = shared.select("id").distinct()
-    points = materialize(sets.join(classes.select("id", F.col("id").alias("row")), "row").select("id", "n", "point").join(members, "id", "left_semi"), "points")
-    rep_rows = classes.join(members, "id", "left_semi").select("id", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.key").alias("rep_key"))
-    texts = materialize(docs.join(rep_rows, F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("key") == F.col("rep_key"))).select("id", "text").dropDuplicates(["id"]), "texts")
-
     def surviving(pairs: DataFrame) -> DataFrame:
         a, b = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").filter(_survives(p.percent, p.groups)("pa", "na", "pb", "nb")).select("a", "b")
@@ -323,6 +406,7 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     # In runs that still hold several components, every set is paired with the one that shares most
     # with others: the text that a group was copied from, as a rule. What this leaves is few.
     rows = _open_rows(shared.select("h", "id", "n"), joined)
+    release(shared)
     for _ in range(p.star_rounds):
         weight = rows.groupBy("id").agg(F.sum("m").alias("weight"))
         heavy = rows.join(weight, "id").groupBy("h").agg(F.max_by(F.struct("id", "component"), F.struct("weight", "id")).alias("center"))
@@ -331,13 +415,14 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
         if found.isEmpty():
             break  # the same centers would come up again
         joined = with_links(found)
-        rows = _open_rows(rows.select("h", "id", "n"), joined)
-    chunked = rows.withColumn("chunks", F.ceil(F.col("m") / p.tile)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component")
+        before, rows = rows, _open_rows(rows.select("h", "id", "n"), joined)
+        release(before)
+    tiles = _tiles(rows, points, p)
     placed = tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
     counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
     more = materialize(verify(materialize(counted, "pairs"), texts, p), "links")
 
+    release(rows, texts, points)
     final = (joined if more.isEmpty() else with_links(more)).withColumnRenamed("node", "id")
     placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = placed.groupBy("component").agg(F.min("rep").alias("first"))

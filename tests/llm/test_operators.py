@@ -117,8 +117,9 @@ def test_induced_sorting():
             assert a <= b and lcp[k] == same
 
 
-def test_near_duplicates(docs, empty):
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, near_duplicates.JaccardParams(tile=3, leaf=2)).collect()}
+@pytest.mark.parametrize("params", [{"tile": 3, "leaf": 2, "held": 400, "run": 2}, {"tile": 9, "leaf": 3, "heavy": 20, "star_rounds": 0}, {}])
+def test_near_duplicates(docs, empty, params):
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, near_duplicates.JaccardParams(**params)).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for k, text, *_ in corpus():
