@@ -13,7 +13,7 @@ coordinate minima, for single points and for the corner points of tree nodes ali
    In each group of sets with a common first shingle, every set is paired with a pivot of fitting
    size; pairs that survive the bound are verified, which joins most near copies at once.
 4. The same with the set that shares most with others as the center of each group.
-5. Where sets of different components still share a first shingle, an R-tree over the points finds
+5. Where more than three sets of several components still share a first shingle, an R-tree over the points finds
    the pairs whose bound suffices; those that come up in k groups are verified too. Long groups are
    cut into chunks, the tree's upper nodes: only chunks whose corners reach the bound meet.
 
@@ -51,11 +51,12 @@ _place = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) * np.uint64
 class JaccardParams:
     """``held`` bounds the hashes that a task sorts at once, ``heavy`` those whose frequencies are sent
     to all tasks (16 bytes each), ``tile`` the sets that meet in one tree, ``run`` the texts that are
-    compared with one copy of another."""
+    compared with one copy of another. Groups of at most ``pairs`` sets are paired without a tree."""
 
     words: int = 5
     percent: int = 75
-    groups: int = 256
+    groups: int = 1024
+    pairs: int = 3
     held: int = 2**21
     heavy: int = 2**20
     tile: int = 2000
@@ -184,9 +185,15 @@ NO_BOUND = 2**40
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima, or no bound where a coordinate is full on both sides."""
-    least = np.minimum(a, b)
-    return np.where((least == FULL).any(-1), NO_BOUND, least.sum(-1, dtype=np.int64))
+    """Summed coordinate minima, or no bound where both sides have full coordinates."""
+    full = (a.max(-1) == FULL) & (b.max(-1) == FULL)
+    return np.where(full, NO_BOUND, np.minimum(a, b).sum(-1, dtype=np.uint32))
+
+
+def folded(points: np.ndarray, by: int = 4) -> np.ndarray:
+    """The points of fewer, larger groups, which give a weaker bound."""
+    sums = points.reshape(len(points), -1, by).sum(axis=2, dtype=np.uint16)
+    return np.minimum(sums, FULL).astype(np.uint8)
 
 
 def _survives(percent: int, groups: int):
@@ -198,22 +205,27 @@ def _survives(percent: int, groups: int):
 
 
 class CountTree:
-    """An R-tree of two levels over count vectors, packed in order of set size and leading counts."""
+    """An R-tree of two levels over count vectors, packed in order of set size and leading counts.
+    Corners and folded points are tested first."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
+        self.coarse = folded(self.points)
         self.starts = np.arange(0, len(sizes), leaf)
-        self.corners = np.maximum.reduceat(self.points, self.starts)
+        self.corners = np.maximum.reduceat(self.coarse, self.starts)
         self.low = np.minimum.reduceat(self.sizes, self.starts)
         self.leaf = leaf
 
     def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Positions (as given) of the sets whose overlap bound reaches the threshold."""
-        nodes = np.flatnonzero(bound(self.corners, point) >= needed(self.low, size, percent))
+        coarse = folded(point[None])[0]
+        nodes = np.flatnonzero(bound(self.corners, coarse) >= needed(self.low, size, percent))
         at = (self.starts[nodes][:, None] + np.arange(self.leaf)).ravel()
         at = at[at < len(self.sizes)]
-        return self.order[at[bound(self.points[at], point) >= needed(self.sizes[at], size, percent)]]
+        for mine, own in ((self.coarse, coarse), (self.points, point)):
+            at = at[bound(mine[at], own) >= needed(self.sizes[at], size, percent)]
+        return self.order[at]
 
 
 def _tree_pairs(p: JaccardParams):
@@ -236,6 +248,7 @@ def _tree_pairs(p: JaccardParams):
         """All pairs of whole runs, with how often each occurs."""
         ids, n, comps, chunk = (g[c].to_numpy() for c in ("id", "n", "component", "chunk"))
         points = np.frombuffer(b"".join(g["point"]), np.uint8).reshape(-1, p.groups)
+        coarse = folded(points)
         lengths = np.diff([*starts, len(g)])
         run = np.repeat(np.arange(len(starts)), lengths)
         long = lengths > p.leaf
@@ -247,7 +260,8 @@ def _tree_pairs(p: JaccardParams):
             if not len(x):
                 break
             x = x[(100 * n[x - d] >= p.percent * n[x]) & (comps[x] != comps[x - d])]
-            x = x[bound(points[x], points[x - d]) >= needed(n[x], n[x - d], p.percent)]
+            for point in (coarse, points):
+                x = x[bound(point[x], point[x - d]) >= needed(n[x], n[x - d], p.percent)]
             left.append(x)
             right.append(x - d)
         for k in np.flatnonzero(long).tolist():
@@ -417,12 +431,16 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
         joined = with_links(found)
         before, rows = rows, _open_rows(rows.select("h", "id", "n"), joined)
         release(before)
+    few, rows = rows.filter(F.col("m") <= p.pairs), rows.filter(F.col("m") > p.pairs)
     tiles = _tiles(rows, points, p)
     placed = tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
-    counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
-    more = materialize(verify(materialize(counted, "pairs"), texts, p), "links")
+    one, other = (few.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    close = (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+    paired = one.join(other, "h").filter(F.col("a") > F.col("b")).filter(close).select("a", "b", (1 + F.floor(F.least("na", "nb") / 20)).alias("k"), F.lit(1).cast("long").alias("c"))
+    counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").unionByName(paired).groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
+    more = materialize(verify(materialize(surviving(materialize(counted, "counted")), "pairs"), texts, p), "links")
 
-    release(rows, texts, points)
+    release(texts, points)
     final = (joined if more.isEmpty() else with_links(more)).withColumnRenamed("node", "id")
     placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = placed.groupBy("component").agg(F.min("rep").alias("first"))
