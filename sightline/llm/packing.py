@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -53,9 +54,12 @@ class WordEncoder:
         import tiktoken
 
         with open(tokenizer_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        byte = byte_of_symbol()
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and not token.startswith("<|")}
+            given = json.load(f)
+        vocabulary, byte = given["model"]["vocab"], byte_of_symbol()
+        #: Tokens that stand for themselves wherever they occur in a text, longest first.
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in given["added_tokens"]}
+        self.apart = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and token not in self.added}
         self.ids = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -64,6 +68,16 @@ class WordEncoder:
         return array("I", self.ids(part)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.apart is None or not self.apart.search(text):
+            return self._plain(text)
+        out, last = [], 0
+        for m in self.apart.finditer(text):
+            out += [self._plain(text[last : m.start()]), self.added[m[0]]]
+            last = m.end()
+        return b"".join([*out, self._plain(text[last:])])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         first, *parts = text.split(" ")
         if not parts or not first or first[-1].isspace():
             return self._encode(text)
