@@ -4,7 +4,7 @@ For each host, the pages that contain a line are divided by the host's pages; li
 boilerplate ratio leave the texts of that host.
 
 Defined cases: a null text stays null, has no lines and counts as a page; pages of a null host stay
-unchanged; blank lines are never judged; a line repeated in a page counts once for it; repeated rows
+unchanged; lines of white space alone are never judged; a line repeated in a page counts once for it; repeated rows
 are pages of their own; an empty table gives an empty result; other columns are ignored, so their
 names cannot clash.
 """
@@ -31,6 +31,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _blank(line: Column) -> Column:
+    return ~line.rlike("[^ \\t\\n\\x0B\\f\\r]")
+
+
 def _key(line: Column) -> Column:
     """128 bits stand for a line."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
@@ -39,7 +43,7 @@ def _key(line: Column) -> Column:
 def boilerplate(docs: DataFrame, host: str, p: LineDedupParams) -> DataFrame:
     """site, keys: the boilerplate lines of each host that has some."""
     pages = docs.select(F.col(host).alias("site"), "text").filter("site IS NOT NULL")
-    lines = pages.select("site", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).filter(F.trim("line") != "")
+    lines = pages.select("site", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).filter(~_blank(F.col("line")))
     # a row without a line counts pages, so that both counts come from one shuffle of partial sums
     counts = lines.select("site", _key(F.col("line")).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= p.min_pages)
     totals = pages.groupBy("site").agg(F.count("*").alias("total"))
@@ -51,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", params: LineDedupPar
     boilerplate lines, whose size is known once written, is below Spark's broadcast threshold."""
     found = materialize(boilerplate(docs, host, params), "boilerplate").withColumnRenamed("site", "__site").withColumnRenamed("keys", "__keys")
     lines = F.coalesce(_lines(F.col("text")), F.array().cast("array<string>"))
-    keep = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__keys"), _key(x)))
+    keep = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__keys"), _key(x)))
     cut = docs.join(found, docs[host] == found["__site"], "left").withColumn("__kept", F.when(F.col("__keys").isNotNull(), keep).otherwise(lines))
     return cut.withColumns({
         "text": F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n")),
@@ -65,11 +69,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(docs).select("doc_id", "source", "n_lines", "n_dropped", F.col("text").alias("kept_text"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH lines AS (
   SELECT DISTINCT d.doc_id, d.source, l.line
   FROM documents d, unnest(string_split(d.text, chr(10))) AS l(line)
-  WHERE d.source IS NOT NULL AND trim(l.line, ' ') <> ''
+  WHERE d.source IS NOT NULL AND regexp_matches(l.line, '[^ \t\n\x0B\f\r]')
 ), totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source
 ), bad AS (
   SELECT l.source, l.line FROM lines l JOIN totals t USING (source)
