@@ -1,11 +1,13 @@
 """Operator 10: benchmark decontamination by a generalised suffix automaton.
 
-The benchmark's words make one automaton (several, if it exceeds ``max_automaton_words``, then the
-documents pass through one after another). Documents stream through it word by word; where the
+The benchmark's words make one automaton. A benchmark of more than ``max_automaton_words`` makes
+several: one at a time is built and sent, the documents pass through it, and what they hit is written
+before the next one, so memory does not grow with the benchmark. Documents stream through it word by word; where the
 longest match reaches the window length, the words of the window are hit.
 
 Defined cases: a null or wordless text has no words and no hits; null or wordless items match
-nothing; items with the same text are all reported; repeated rows are judged each for itself; empty
+nothing; what items without an id hit counts, but they are
+listed nowhere; items with the same text are all reported; repeated rows are judged each for itself; empty
 tables give empty results or no hits; other columns are ignored, so their names cannot clash.
 """
 
@@ -15,14 +17,14 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import table
+from sightline.llm.common import materialize, release, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z in lower case; every ASCII character that is no letter or digit becomes a space.
@@ -35,7 +37,7 @@ class DecontaminationParams:
 
     window: int = 13
     coverage: float = 0.05
-    max_automaton_words: int = 2_000_000
+    max_automaton_words: int = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -142,14 +144,22 @@ class SuffixAutomaton:
                                 edges[i - k + 1] += 1
                                 edges[i + 1] -= 1
                         u = self.link[u]
-        return np.cumsum(edges[:n]) > 0, found
+        return np.cumsum(edges[:n]) > 0, found - {None}
 
 
 def automata(benchmark: DataFrame, p: DecontaminationParams) -> Iterator[SuffixAutomaton]:
+    """Automata of bounded size. Longer items are cut into parts that share all but one word of a window."""
+
+    def parts() -> Iterator[tuple[int, list[bytes]]]:
+        for item, text in benchmark.select("item_id", "text").toLocalIterator():
+            words = words_of(text)
+            most = max(p.max_automaton_words, p.window)
+            for k in range(0, max(1, len(words) - p.window + 1), most - p.window + 1):
+                yield item, words[k : k + most]
+
     shard: list[tuple[int, list[bytes]]] = []
     size = 0
-    for item, text in benchmark.select("item_id", "text").toLocalIterator():
-        words = words_of(text)
+    for item, words in parts():
         if shard and size + len(words) > p.max_automaton_words:
             yield SuffixAutomaton(shard, p.window)
             shard, size = [], 0
@@ -170,8 +180,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Decontamin
     spark = docs.sparkSession
     found = docs.select("doc_id", "text", *carried).withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<struct<a:long,b:long>>"), "items": F.array().cast("array<long>")}).select("doc_id", "text", "n_words", "spans", "items", *carried)
     schema = "doc_id long, text string, n_words long, spans array<struct<a:long,b:long>>, items array<long>" + "".join(f", {c} string" for c in carried)
-    shards = list(automata(benchmark, params)) or [SuffixAutomaton([], params.window)]
-    for shard in shards:
+    shards = chain(automata(benchmark, params), [None])
+    shard = next(shards) or SuffixAutomaton([], params.window)
+    while shard:
         held = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -186,7 +197,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Decontamin
                     rows.append((doc_id, text, len(words), [{"a": a, "b": b} for a, b in runs(hit)], sorted(new | set(items)), *rest))
                 yield pd.DataFrame(rows, columns=list(batch.columns))
 
-        found = found.mapInPandas(run, schema)
+        found, before = found.mapInPandas(run, schema), found
+        shard = next(shards, None)
+        if shard:
+            found = materialize(found, "hits")
+            held.destroy()
+            release(before)
     return found
 
 
