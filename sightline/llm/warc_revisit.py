@@ -60,7 +60,8 @@ def resolve_revisits(records: DataFrame, spans: int = 4096) -> DataFrame:
     found = found.select(wanted).unionByName(rows.filter(lacking & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(found.schema["found"].dataType)).select(wanted))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     renewed = F.map_filter(F.coalesce("headers", none), lambda k, _: F.lower(k).isin(*RENEWED))
-    stored = F.map_filter(F.coalesce(r["headers"], none), lambda k, _: ~F.array_contains(F.map_keys(renewed), k))
+    names = F.transform(F.map_keys(renewed), F.lower)
+    stored = F.map_filter(F.coalesce(r["headers"], none), lambda k, _: ~F.array_contains(names, F.lower(k)))
     status = F.when(r.isNull(), "no_response").when(same("etag") & same("last_modified") & same("digest"), "resolved").otherwise("validator_mismatch")
     return found.select("record_id", "canonical_url", "ts", status.alias("status"), F.when(status == "resolved", r["record_id"]).alias("response_id"), F.when(status == "resolved", F.map_concat(stored, renewed)).alias("headers"))
 
