@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SPACES, materialize, table
+from sightline.llm.common import SPACES, materialize, release, table
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes by byte; UTF-8 lead bytes of non-ASCII characters are one class and
@@ -125,7 +125,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def references(docs: DataFrame, p: QualityParams) -> DataFrame:
     """lang, class histogram, common words, their histogram with all other words last. The pooled
     reference has the language POOLED."""
-    sums = docs.select("lang", "text").mapInPandas(_counts, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).persist()
+    sums = docs.select("lang", "text").mapInPandas(_counts, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "sums")
     try:
         kinds = range(len(CLASSES) + 1)
         fixed = materialize(sums.filter("kind <> 'w'").groupBy("lang").agg(
@@ -147,7 +148,7 @@ def references(docs: DataFrame, p: QualityParams) -> DataFrame:
             F.concat(F.coalesce(F.col("found.n"), F.array().cast("array<bigint>")), F.array(other)).alias("counts"),
         ), "references")
     finally:
-        sums.unpersist()
+        release(sums)
 
 
 Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
