@@ -1,11 +1,12 @@
 """External induced sorting of the suffixes of a shard, with common-prefix lengths.
 
 The shard is a sequence of segments; a suffix ends with its segment. Suffixes that are smaller than
-their successor and follow a larger one (the sample) are sorted first, by ranks of doubled length up
-to ``depth``; all others are induced from them. Each bucket, the suffixes of one first byte, has a
+their successor and follow a larger one (the sample) are sorted first: the strings between them get
+names in their order, and the sequence of names is sorted in turn. All others are induced from them.
+Each bucket, the suffixes of one first byte, has a
 queue of (position, common prefix with the entry before it); sorted entries are taken out bucket by
 bucket and put their predecessors into the queues in order. A queue keeps ``held`` entries in memory
-and the rest in a file, so memory follows the largest bucket's round, not the shard.
+and the rest in a file of the task, which goes with it.
 
 Common prefixes are carried along: two entries that enter a queue one after the other share one byte
 more than the least common prefix of what was taken out between their successors. Lengths are cut
@@ -79,29 +80,57 @@ class InducedSort:
         self.least[absent] = np.minimum(self.least[absent], running[-1])
 
 
+#: Stands after the end of a string between two sample positions: of two strings of which one begins
+#: the other, the shorter is larger, since its last symbol is smaller than what follows it.
+PAST, NAMED = 257, 7  # 258 ** 7 is below 2 ** 63
+
+
+def _refine(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Sort the rows of equal rank by key; a rank is the place of its first row. Returns the rows that
+    are still equal to others."""
+    order = np.lexsort((key, rank[rows])) if rank.any() else np.argsort(key)
+    rows, key, old = rows[order], key[order], rank[rows[order]]
+    group = np.flatnonzero(np.diff(old, prepend=-1))
+    part = np.flatnonzero((np.diff(old, prepend=-1) != 0) | (np.diff(key, prepend=key[:1]) != 0))
+    sizes = np.diff(np.append(part, len(rows)))
+    first = group[np.searchsorted(group, part, "right") - 1]
+    rank[rows] = np.repeat(old[part] + part - first, sizes)
+    return rows[np.repeat(sizes > 1, sizes)]
+
+
 def _sample_order(text: np.ndarray, sample: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
-    """The sample in order of the first ``depth`` symbols; all symbols after a segment's end are END."""
-    here, n = np.arange(len(text)), len(text)
-    key, span = np.zeros(n, np.int64), min(7, depth)
-    for k in range(span):  # 257 ** 7 is below 2 ** 63
-        key = key * 257 + text[np.minimum(here + k, stop)]
-    while True:
-        order = np.argsort(key)
-        new = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if span >= depth or new[-1] == n - 1:
-            return sample[np.argsort(rank[sample], kind="stable")]
-        key = rank * (int(new[-1]) + 1) + rank[np.minimum(here + span, stop)]
+    """The sample in the order of the first ``depth`` symbols; ``stop`` is each one's segment end."""
+    m = len(sample)
+    last = np.minimum(np.append(sample[1:], len(text)), stop)
+    length = np.minimum(last - sample + 1, depth)
+    rank, rows = np.zeros(m, np.int64), np.arange(m)
+    for begin in range(0, depth, NAMED):  # names of the strings up to the next sample position
+        key = np.zeros(len(rows), np.int64)
+        for k in range(begin, begin + NAMED):
+            key = key * (PAST + 1) + np.where(k < length[rows], text[np.minimum(sample[rows] + k, len(text) - 1)], PAST)
+        tied = _refine(rank, rows, key)
+        rows = tied[length[tied] > begin + NAMED]
+        if not len(rows):
+            break
+        rows = tied[np.isin(rank[tied], rank[rows])]
+    counts = np.bincount(rank, minlength=m)
+    rows = np.flatnonzero(counts[rank] > 1)
+    span = 1
+    while len(rows) and 2 * span <= depth:  # a name covers two symbols at least
+        after = np.minimum(rows + span, m - 1)
+        key = np.where((rows + span < m) & (stop[after] == stop[rows]), rank[after], -1)
+        rows = _refine(rank, rows, key)
         span *= 2
+    return sample[np.argsort(rank, kind="stable")]
 
 
-def common_prefix(text: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of the suffixes at a and b, cut at ``depth`` and at segment ends; four 16-bit
+def common_prefix(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of the suffixes at a and b, cut at ``depth`` and at segment ``ends``; four 16-bit
     symbols are compared at a time."""
     padded = np.append(text, np.zeros(4, text.dtype)).astype(np.uint64)
     word = padded[:-4] | padded[1:-3] << np.uint64(16) | padded[2:-2] << np.uint64(32) | padded[3:-1] << np.uint64(48)
-    most = np.minimum(np.minimum(stop[a] - a, stop[b] - b), depth)
+    stops = (ends[np.searchsorted(ends, x)] - x for x in (a, b))
+    most = np.minimum(np.minimum(*stops), depth)
     out, live = most.copy(), np.flatnonzero(most > 0)
     for k in range(0, depth, 4):
         differ = word[a[live] + k] ^ word[b[live] + k]
@@ -126,15 +155,14 @@ def sorted_suffixes(text: np.ndarray, depth: int, held: int = 2**20) -> tuple[np
     # larger[i]: the suffix at i is larger than the one at i + 1; equal symbols take the type that follows
     step = np.sign(np.diff(text.astype(np.int64), append=END - 1))
     known = np.flatnonzero(step != 0)
-    larger = step[known[np.searchsorted(known, np.arange(n))]] < 0
-    run_end = known[np.searchsorted(known, np.arange(n))]  # last position of a run of equal symbols
+    run_end = np.repeat(known, np.diff(known, prepend=-1))  # last position of a run of equal symbols
+    larger = step[run_end] < 0
     larger[text == END] = False
     ends = np.flatnonzero(text == END)
     sample = np.flatnonzero(~larger[1:] & larger[:-1] & (text[1:] != END)) + 1
-    stop = ends[np.searchsorted(ends, np.arange(n))]  # the end of each position's segment
-    sample = _sample_order(text, sample, stop, depth) if len(sample) else sample
+    sample = _sample_order(text, sample, ends[np.searchsorted(ends, sample)], depth) if len(sample) else sample
     sample_lcp = np.zeros(len(sample), np.int64)
-    sample_lcp[1:] = common_prefix(text, stop, sample[:-1], sample[1:], depth)
+    sample_lcp[1:] = common_prefix(text, ends, sample[:-1], sample[1:], depth)
     starts = np.searchsorted(text[sample], np.arange(258))
 
     def junction(a: int, b: int) -> int:

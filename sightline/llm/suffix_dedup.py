@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import materialize, table
+from sightline.llm.common import materialize, release, table
 from sightline.llm.hashing import PartHashes
 from sightline.llm.induced import sorted_suffixes
 
@@ -35,8 +36,8 @@ class RepeatParams:
     """``chunk`` bounds the windows that are hashed at once, ``shard_bytes`` those sorted at once."""
 
     length: int = 200
-    gram: int = 32
-    chunk: int = 2**20
+    gram: int = 64
+    chunk: int = 2**18
     shard_bytes: int = 1_500_000
     passes_bytes: int = 8_000_000
 
@@ -63,21 +64,26 @@ def segments(raw: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, ...]:
         starts = np.concatenate(([0], 1 + np.flatnonzero(least[1:] != least[:-1])))
         ends = np.concatenate((starts[1:], [len(least)])) + p.length - 1
         h = least[starts]
-        own = np.array([np.count_nonzero(grams[a : b - p.gram + 1] == v) > 1 for a, b, v in zip(starts.tolist(), ends.tolist(), h, strict=True)], bool)
+        counts = ends - starts - p.gram + 1  # the grams of each segment
+        begins = np.cumsum(counts) - counts
+        at = np.arange(counts.sum()) + np.repeat(starts - begins, counts)
+        own = np.add.reduceat(grams[at] == np.repeat(h, counts), begins, dtype=np.int64) > 1
         found.append((h.astype(np.int64), (hashes.of(starts, ends) + (ends - starts).astype(np.uint64)).astype(np.int64), starts + begin, ends - starts, own))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else ()
 
 
 def _segment_rows(p: RepeatParams):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                found = segments(np.frombuffer((text or "").encode(), np.uint8), p)
-                if found:
-                    out.append(pd.DataFrame(dict(zip(("h", "sh", "s", "len", "own"), found, strict=True))).assign(id=i))
-            if out:
-                yield pd.concat(out)[["h", "sh", "id", "s", "len", "own"]]
+            ids, found = [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows = segments(np.frombuffer((text or "").encode(), np.uint8), p)
+                if rows:
+                    ids.append(np.full(len(rows[0]), i))
+                    found.append(rows)
+            if found:
+                h, sh, s, length, own = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, sh, np.concatenate(ids), s, length, own)], ["h", "sh", "id", "s", "len", "own"])
 
     return run
 
@@ -168,10 +174,18 @@ def _shard_repeats(p: RepeatParams):
         keys, parts, size = [], [], 0  # whole groups
         group, group_keys, held, spool, spooled, now = [], [], 0, None, 0, None
 
+        def to_file() -> None:
+            nonlocal group, held, spool, spooled
+            spool = spool or tempfile.TemporaryFile()
+            for x in group:
+                spool.write(len(x).to_bytes(8, "little") + x)
+            group, spooled, held = [], spooled + held, 0
+
         def close() -> Iterator[pd.DataFrame]:
             """End a group: a spooled one is counted, another one joins the shard."""
             nonlocal keys, parts, size, group, group_keys, held, spool, spooled
             if spool is not None:
+                to_file()
                 for record, runs in counted_repeats(spool, len(group_keys), spooled, p):
                     yield rows([group_keys[record]], [runs])
                 spool.close()
@@ -191,14 +205,7 @@ def _shard_repeats(p: RepeatParams):
                 group.append(raw)
                 held += len(raw)
                 if held > p.shard_bytes:
-                    spool = spool or tempfile.TemporaryFile()
-                    for x in group:
-                        spool.write(len(x).to_bytes(8, "little") + x)
-                    group, spooled, held = [], spooled + held, 0
-        if spool is not None and group:
-            for x in group:
-                spool.write(len(x).to_bytes(8, "little") + x)
-            group, spooled, held = [], spooled + held, 0
+                    to_file()
         yield from close()
         if parts:
             yield rows(keys, sorted_repeats(parts, p))
@@ -258,7 +265,7 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
     gone = materialize(docs.select("doc_id", "id").join(multiple, "id").filter("doc_id > rep").select("doc_id", "id").distinct(), "copies")
     single = docs.join(gone, ["doc_id", "id"], "left_anti")
 
-    rows = single.filter(F.octet_length("text") >= p.length).select("id", "text").mapInPandas(_segment_rows(p), "h long, sh long, id long, s long, len long, own boolean")
+    rows = single.filter(F.octet_length("text") >= p.length).select("id", "text").mapInArrow(_segment_rows(p), "h long, sh long, id long, s long, len long, own boolean")
     ordered = rows.repartition("h").sortWithinPartitions("h", "sh")
     schema = "h long, sh long, id long, s long, len long, own boolean, shared boolean, dup boolean, first boolean"
     shared = materialize(ordered.mapInPandas(_shared_rows, schema), "shared")
@@ -272,10 +279,12 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
     parts = single.select("id", "text").join(lists, "id").select("text", "wanted").mapInPandas(_slices, "h long, sh long, bytes binary").dropDuplicates(["h", "sh"])
     shards = parts.repartition(max(1, -(-size // (4 * p.shard_bytes))), "h").sortWithinPartitions("h")
     repeats = materialize(shards.mapInPandas(_shard_repeats(p), "h long, sh long, a long, b long"), "repeats")
+    release(wanted)
 
     whole = shared.filter("dup").select("id", F.col("s").alias("a"), (F.col("s") + F.col("len")).alias("b"))
     within = shared.filter("NOT dup").join(repeats, ["h", "sh"]).select("id", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
     runs = materialize(whole.unionByName(within).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
+    release(shared, repeats)
     # what stands in neither list is unique as a whole; both are small next to the texts as a rule
     marks = materialize(runs.join(multiple.select("id", "copies"), "id", "full").select("id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "runs"), "marks")
     marked = docs.join(marks, "id", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "runs")
