@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ class JaccardParams:
     percent: int = 75
     groups: int = 1024
     pairs: int = 3
-    held: int = 2**21
+    held: int = 2**19
     heavy: int = 2**20
     tile: int = 2000
     leaf: int = 32
@@ -112,8 +113,8 @@ def _features(p: JaccardParams, buckets: int, heavy: np.ndarray, often: np.ndarr
                 rank = np.where(heavy[found] == at, often[found], 0) if len(heavy) else np.zeros(len(s), np.int64)
                 order = np.lexsort((s, rank))[: prefix_length(len(s), p.percent)]
                 salts = 1 + rank[order] // p.tile
-                point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups).clip(max=FULL).astype(np.uint8)
-                rows.append((i, len(s), s[order].astype(np.int64), salts, point.tobytes()))
+                point = np.bincount((s >> np.uint64(40)).astype(np.int64) % p.groups, minlength=p.groups)
+                rows.append((i, len(s), s[order].astype(np.int64), salts, packed(point)))
             yield pd.DataFrame(rows, columns=["id", "n", "prefix", "salts", "point"])
 
     return run
@@ -178,27 +179,40 @@ def _pivots(percent: int):
     return run
 
 
-#: Counts are kept in a byte; this one stands for itself and all above.
-FULL = 255
+#: Counts are kept in half a byte; this one stands for itself and all above. Sums of full counts are OVER.
+FULL, OVER = 15, 255
 #: No set is larger.
 NO_BOUND = 2**40
 
 
-def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def bound(a: np.ndarray, b: np.ndarray, over: int = FULL) -> np.ndarray:
     """Summed coordinate minima, or no bound where both sides have full coordinates."""
-    full = (a.max(-1) == FULL) & (b.max(-1) == FULL)
+    full = (a.max(-1) >= over) & (b.max(-1) >= over)
     return np.where(full, NO_BOUND, np.minimum(a, b).sum(-1, dtype=np.uint32))
 
 
 def folded(points: np.ndarray, by: int = 4) -> np.ndarray:
     """The points of fewer, larger groups, which give a weaker bound."""
-    sums = points.reshape(len(points), -1, by).sum(axis=2, dtype=np.uint16)
-    return np.minimum(sums, FULL).astype(np.uint8)
+    parts = points.reshape(len(points), -1, by)
+    return np.where(parts.max(axis=2) == FULL, OVER, parts.sum(axis=2, dtype=np.uint8)).astype(np.uint8)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """Two counts in a byte."""
+    p = np.minimum(point, FULL).astype(np.uint8)
+    return (p[::2] | p[1::2] << 4).tobytes()
+
+
+def unpacked(points, groups: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(points), np.uint8)
+    out = np.empty((len(raw), 2), np.uint8)
+    out[:, 0], out[:, 1] = raw & 15, raw >> 4
+    return out.reshape(-1, groups)
 
 
 def _survives(percent: int, groups: int):
     def run(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, groups) for s in (a, b))
+        x, y = unpacked(a, groups), unpacked(b, groups)
         return pd.Series(bound(x, y) >= needed(na.to_numpy(), nb.to_numpy(), percent))
 
     return F.pandas_udf(run, "boolean")
@@ -220,11 +234,11 @@ class CountTree:
     def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Positions (as given) of the sets whose overlap bound reaches the threshold."""
         coarse = folded(point[None])[0]
-        nodes = np.flatnonzero(bound(self.corners, coarse) >= needed(self.low, size, percent))
+        nodes = np.flatnonzero(bound(self.corners, coarse, OVER) >= needed(self.low, size, percent))
         at = (self.starts[nodes][:, None] + np.arange(self.leaf)).ravel()
         at = at[at < len(self.sizes)]
-        for mine, own in ((self.coarse, coarse), (self.points, point)):
-            at = at[bound(mine[at], own) >= needed(self.sizes[at], size, percent)]
+        for mine, own, over in ((self.coarse, coarse, OVER), (self.points, point, FULL)):
+            at = at[bound(mine[at], own, over) >= needed(self.sizes[at], size, percent)]
         return self.order[at]
 
 
@@ -232,24 +246,27 @@ def _tree_pairs(p: JaccardParams):
     """Rows in order of tile and size: pairs of different components that may be linked. A tile of
     two chunks pairs across them, a tile of one chunk within it."""
 
-    def tile(points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row positions of the pairs of a long run, by the tree."""
+    def tile(points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row positions of the pairs of a long run, by the tree. The rows of its largest component are
+        found by the others."""
         tree = CountTree(points, sizes, p.leaf)
         across = len(set(chunk)) > 1
+        names, counts = np.unique(comps, return_counts=True)
+        largest = names[np.argmax(counts)]
         left, right = [], []
-        for k in range(len(sizes)):
+        for k in np.flatnonzero(comps != largest).tolist():
             found = tree.search(points[k], sizes[k], p.percent)
-            found = found[(found < k) & ((chunk[found] != chunk[k]) | (not across))]
+            found = found[((found < k) | (comps[found] == largest)) & (comps[found] != comps[k]) & ((chunk[found] != chunk[k]) | (not across))]
             left.append(np.full(len(found), k))
             right.append(found)
-        return np.concatenate(left), np.concatenate(right)
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
 
-    def pairs(g: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    def pairs(g: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
         """All pairs of whole runs, with how often each occurs."""
-        ids, n, comps, chunk = (g[c].to_numpy() for c in ("id", "n", "component", "chunk"))
-        points = np.frombuffer(b"".join(g["point"]), np.uint8).reshape(-1, p.groups)
+        *_, ids, n, comps, chunk, points = g
+        points = unpacked([points.tobytes()], p.groups)
         coarse = folded(points)
-        lengths = np.diff([*starts, len(g)])
+        lengths = np.diff([*starts, len(ids)])
         run = np.repeat(np.arange(len(starts)), lengths)
         long = lengths > p.leaf
         left, right = [], []
@@ -260,34 +277,43 @@ def _tree_pairs(p: JaccardParams):
             if not len(x):
                 break
             x = x[(100 * n[x - d] >= p.percent * n[x]) & (comps[x] != comps[x - d])]
-            for point in (coarse, points):
-                x = x[bound(point[x], point[x - d]) >= needed(n[x], n[x - d], p.percent)]
+            for point, over in ((coarse, OVER), (points, FULL)):
+                x = x[bound(point[x], point[x - d], over) >= needed(n[x], n[x - d], p.percent)]
             left.append(x)
             right.append(x - d)
         for k in np.flatnonzero(long).tolist():
             at = slice(starts[k], starts[k] + lengths[k])
-            a, b = tile(points[at], n[at], chunk[at])
+            a, b = tile(points[at], n[at], chunk[at], comps[at])
             left.append(a + starts[k])
             right.append(b + starts[k])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
         ok = comps[a] != comps[b]
         a, b = a[ok], b[ok]
         out = pd.DataFrame({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b]), "k": common_prefix(np.minimum(n[a], n[b]))})
-        return out.groupby(["a", "b", "k"], as_index=False).size().rename(columns={"size": "c"})
+        return pa.RecordBatch.from_pandas(out.groupby(["a", "b", "k"], as_index=False).size().rename(columns={"size": "c"}), preserve_index=False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """h, i, j, id, n, component, chunk, and the packed points as rows of bytes."""
+        points = batch.column("point").cast(pa.large_binary())
+        width = p.groups // 2
+        begin = np.frombuffer(points.buffers()[1], np.int64)[points.offset]
+        raw = np.frombuffer(points.buffers()[2], np.uint8, len(points) * width, begin).reshape(-1, width)
+        return [*(batch.column(c).to_numpy() for c in ("h", "i", "j", "id", "n", "component", "chunk")), raw]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(batch):
                 continue
-            key = batch[["h", "i", "j"]].to_numpy()
-            begins = np.concatenate(([0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))))
-            rest = batch.iloc[begins[-1] :]
+            rows = columns(batch)
+            rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            other = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+            begins = np.concatenate(([0], 1 + np.flatnonzero(other)))
+            rest = [x[begins[-1] :].copy() for x in rows]
             if len(begins) > 1:
-                yield pairs(batch.iloc[: begins[-1]], begins[:-1])
+                yield pairs([x[: begins[-1]] for x in rows], begins[:-1])
         if rest is not None:
-            yield pairs(rest.reset_index(drop=True), np.zeros(1, np.int64))
+            yield pairs(rest, np.zeros(1, np.int64))
 
     return run
 
@@ -328,8 +354,8 @@ def _corners(groups: int):
     """The corner, the least size and (for a chunk of one component) the component of a chunk."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(g["point"]), np.uint8).reshape(-1, groups)
-        return pd.DataFrame({"h": g["h"].iloc[:1], "chunk": g["chunk"].iloc[:1], "owner": g["owner"].iloc[:1], "least": [g["n"].min()], "corner": [points.max(axis=0).tobytes()]})
+        points = unpacked(g["point"], groups)
+        return pd.DataFrame({"h": g["h"].iloc[:1], "chunk": g["chunk"].iloc[:1], "owner": g["owner"].iloc[:1], "least": [g["n"].min()], "corner": [packed(points.max(axis=0))]})
 
     return run
 
@@ -437,7 +463,7 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     one, other = (few.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     close = (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
     paired = one.join(other, "h").filter(F.col("a") > F.col("b")).filter(close).select("a", "b", (1 + F.floor(F.least("na", "nb") / 20)).alias("k"), F.lit(1).cast("long").alias("c"))
-    counted = placed.mapInPandas(_tree_pairs(p), "a long, b long, k long, c long").unionByName(paired).groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
+    counted = placed.mapInArrow(_tree_pairs(p), "a long, b long, k long, c long").unionByName(paired).groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
     more = materialize(verify(materialize(surviving(materialize(counted, "counted")), "pairs"), texts, p), "links")
 
     release(texts, points)

@@ -30,7 +30,7 @@ from sightline.llm.common import materialize, table
 
 SIZE, END_ID = 2048, 0
 #: Encodings of words kept by a Python worker; longer words are not kept.
-KEPT_WORDS, KEPT_CHARS = 300_000, 64
+KEPT_WORDS, KEPT_CHARS = 150_000, 64
 
 
 def byte_of_symbol() -> dict[str, int]:

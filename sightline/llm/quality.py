@@ -117,7 +117,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = common_words(raw)
             words[lang].update(found)
             fixed[lang] += np.append(class_histogram(raw), (len(found), 1))
-            if len(words[lang]) > 200_000:  # partial sums; Spark adds them up
+            if len(words[lang]) > 100_000:  # partial sums; Spark adds them up
                 yield out()
     yield out()
 
