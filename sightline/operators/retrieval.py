@@ -43,3 +43,63 @@ def grounded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     snippets = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.regexp_extract("text", r"^[^.!?]*[.!?]?", 0).alias("snippet"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "snippet")))
     return best.join(snippets, "unit_id").agg(F.array_join(F.transform(ordered, lambda x: x["snippet"]), " ").alias("answer"), F.count("*").alias("sources"))
+
+
+#: Units whose id this number divides are the queries of the batch forms.
+EVERY = 50
+
+
+def scored_for_all(spark: SparkSession, sf_dir: str, every: int = EVERY) -> DataFrame:
+    """Each query unit with all others: query_id, unit_id, video, unit_type, score."""
+    all_units = units(spark, sf_dir)
+    queries = all_units.filter(F.col("unit_id") % every == 0).select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = all_units.join(queries, F.col("unit_id") != F.col("query_id"))
+    return pairs.select("query_id", "unit_id", "video", "unit_type", F.round(similarity(F.col("embedding"), F.col("query")), 5).alias("score"))
+
+
+def best_of(rows: DataFrame, by: list[str], order: list, k: int, place: str = "place") -> DataFrame:
+    """The first k rows of each group; Spark keeps k for each group and task before the shuffle."""
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(place) <= k)
+
+
+def rerank_for_all(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("the", "and", "of"), first: int = 100, k: int = 10) -> DataFrame:
+    """``rerank_search`` for every query unit; only transcripts of units found are split into words."""
+    best = best_of(scored_for_all(spark, sf_dir), ["query_id"], [F.desc("score"), "unit_id"], first).drop("place")
+    texts = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), "text").join(best.select("unit_id").distinct(), "unit_id", "left_semi")
+    words = F.array_distinct(F.split(F.lower("text"), r"[ \t\n\f\r]+"))
+    shares = texts.select("unit_id", (F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) / len(terms)).alias("share"))
+    ranked = best.join(shares, "unit_id", "left").withColumn("rerank_score", F.round(F.coalesce("share", F.lit(0.0)), 6))
+    return best_of(ranked, ["query_id"], [F.desc("rerank_score"), F.desc("score"), "unit_id"], k).select("query_id", F.col("place").cast("long").alias("place"), "unit_id", "video", "score", "rerank_score")
+
+
+def blended_for_all(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """``blended_search`` for every query unit."""
+    weight = F.when(F.col("unit_type") == "speech", 1.0).when(F.col("unit_type") == "summary", 0.9).otherwise(0.8)
+    blended = scored_for_all(spark, sf_dir).withColumn("blended", F.round(F.col("score") * weight, 5))
+    one = best_of(blended, ["query_id", "video"], [F.desc("blended"), "unit_id"], 1).drop("place")
+    return best_of(one, ["query_id"], [F.desc("blended"), "video"], k).select("query_id", "video", "unit_id", "unit_type", "blended")
+
+
+def answers_for_all(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """``grounded_answer`` for every query unit."""
+    best = rerank_for_all(spark, sf_dir, k=k)
+    snippets = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.regexp_extract("text", r"^[^.!?]*[.!?]?", 0).alias("snippet"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "snippet")))  # k rows of each query
+    return best.join(snippets, "unit_id").groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["snippet"]), " ").alias("answer"), F.count("*").alias("sources"))
+
+
+_SCORED = """SELECT q.vec_id AS query_id, u.vec_id AS unit_id, CAST(u.label AS BIGINT) AS video, CASE u.vec_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'speech' ELSE 'visual' END AS unit_type,
+  round(greatest(least(list_sum(list_transform(range(1, len(u.embedding) + 1), lambda i: u.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 1), 0), 5) AS score
+FROM embeddings u JOIN embeddings q ON q.vec_id % 50 = 0 AND u.vec_id <> q.vec_id"""
+_RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, unit_id) AS place FROM (
+  SELECT s.*, round(coalesce(len(list_intersect(regexp_split_to_array(lower(d.text), '[ \\t\\n\\f\\r]+'), ['the', 'and', 'of'])) / 3, 0), 6) AS rerank_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS n FROM ({_SCORED})) s LEFT JOIN documents d ON d.doc_id = s.unit_id WHERE n <= 100)"""
+ORACLES = {
+    "rerank_search": f"SELECT query_id, place, unit_id, video, score, rerank_score FROM ({_RERANKED}) WHERE place <= 10",
+    "blended_search": f"""SELECT query_id, video, unit_id, unit_type, blended FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, video) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY blended DESC, unit_id) AS n FROM (
+      SELECT *, round(score * CASE unit_type WHEN 'speech' THEN 1.0 WHEN 'summary' THEN 0.9 ELSE 0.8 END, 5) AS blended FROM ({_SCORED}))) WHERE n = 1) WHERE place <= 10""",
+    "grounded_answer": f"""SELECT query_id, string_agg(regexp_extract(d.text, '^[^.!?]*[.!?]?', 0), ' ' ORDER BY place) AS answer, count(*) AS sources
+FROM ({_RERANKED}) r JOIN documents d ON d.doc_id = r.unit_id WHERE place <= 3 GROUP BY query_id""",
+}

@@ -1,5 +1,4 @@
-"""Every query of the reports, with the SQL it is checked against; retrieval with stand-ins for
-models has rows only."""
+"""Every query of the reports, with the SQL it is checked against."""
 
 from __future__ import annotations
 
@@ -9,8 +8,8 @@ from sightline.plans.report import callables
 
 _REPORTS = analytics.REPORTS | operations.REPORTS
 QUERIES: dict = callables(_REPORTS) | {
-    "rerank_search": retrieval.rerank_search,
-    "blended_search": retrieval.blended_search,
-    "grounded_answer": retrieval.grounded_answer,
+    "rerank_search": retrieval.rerank_for_all,
+    "blended_search": retrieval.blended_for_all,
+    "grounded_answer": retrieval.answers_for_all,
 }
-ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()}
+ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | retrieval.ORACLES

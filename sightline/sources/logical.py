@@ -51,7 +51,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
     status = F.when((s == "F") & (p == "5-LOW"), "failed").when(s == "F", "completed").when((s == "O") & (p == "1-URGENT"), "retrying").when(s == "O", "pending").otherwise("running")
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("video"), (F.col("o_custkey") % 20).alias("source_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("processing_ms"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("video"), F.floor(F.col("o_custkey") / 15).alias("source_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("processing_ms"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").filter("s_suppkey < 20").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"), F.floor("s_acctbal").cast("long").alias("subscribers"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"), F.floor("s_acctbal").cast("long").alias("subscribers"))
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,14 +108,14 @@ LEFT JOIN (SELECT DISTINCT i.event_id AS view_id FROM (SELECT * FROM ev WHERE ev
 WHERE v.event_type = 'view'"""),
     "qlog": (("ev",), """SELECT event_id AS request_id, user_id, 'query ' || CAST(k AS VARCHAR) AS query_text, surface, include_answer,
   CASE WHEN event_type = 'error' THEN 0 ELSE k % 5 + 1 END AS result_count, value AS latency_ms, CAST(1 + CAST(include_answer AS INT) AS BIGINT) AS credits, ts AS created_at, event_type FROM ev"""),
-    "job": ((), """SELECT o_orderkey AS job_id, o_custkey AS video, o_custkey % 20 AS source_id,
+    "job": ((), """SELECT o_orderkey AS job_id, o_custkey AS video, o_custkey // 15 AS source_id,
   CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed'
        WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'retrying' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'running' END AS status,
   o_orderdate AS created_at, o_totalprice AS processing_ms FROM orders"""),
     "step": ((), """SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS step, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'completed' ELSE 'running' END AS status,
   l_shipdate AS finished_at, l_partkey AS worker, l_quantity AS frames FROM lineitem"""),
     "usr": ((), "SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS tier, CAST(c_nationkey AS BIGINT) AS region, c_acctbal AS balance FROM customer"),
-    "src": ((), "SELECT s_suppkey AS source_id, s_name AS name, CAST(floor(s_acctbal) AS BIGINT) AS subscribers FROM supplier WHERE s_suppkey < 20"),
+    "src": ((), "SELECT s_suppkey AS source_id, s_name AS name, CAST(floor(s_acctbal) AS BIGINT) AS subscribers FROM supplier"),
     "fb": ((), "SELECT doc_id AS result_id, doc_id % 50 AS video, doc_id % 97 AS user_id, CAST(CASE WHEN quality = 1 THEN 1 ELSE -1 END AS BIGINT) AS rating FROM labels"),
     "unit": ((), "SELECT vec_id AS unit_id, CAST(label AS BIGINT) AS video, CASE vec_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'speech' ELSE 'visual' END AS unit_type, embedding FROM embeddings"),
     "thread": ((), "SELECT conv_id, turn, role, text FROM conversations"),
