@@ -45,15 +45,21 @@ def bigram_set(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+#: Template rows up to which every task holds the whole table.
+HELD_ROWS = 20_000
+
+
 def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]], threshold: float) -> DataFrame:
-    """A row for each template and admissible set size; grows with the templates only."""
+    """A row for each template and admissible set size; grows with the templates only. Up to
+    ``HELD_ROWS`` it is sent to all tasks, so no unit is shuffled by its size."""
     rows = []
     for name, texts in templates.items():
         for k, text in enumerate(texts):
             grams = sorted(bigram_set(text))
             low, high = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), math.floor(len(grams) * (2 - threshold) / threshold + 1e-9)
             rows += [(name, k, grams, len(grams), n) for n in range(max(1, low), high + 1)]
-    return spark.createDataFrame(rows, "license string, variant int, template array<string>, template_size int, size int")
+    found = spark.createDataFrame(rows, "license string, variant int, template array<string>, template_size int, size int")
+    return F.broadcast(found) if sum(len(r[2]) for r in rows) <= 100 * HELD_ROWS and len(rows) <= HELD_ROWS else found
 
 
 def _normal(text: Column) -> Column:
