@@ -45,12 +45,14 @@ RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Ru
 @dataclass(frozen=True)
 class MiningParams:
     """A URL has seven tokens at most, so there are 2**7 / min_support combinations at most, which
-    bounds what is collected and sent to the tasks."""
+    bounds what is collected and sent to the tasks. A rule counts only if its bad pages exceed what
+    the share of bad pages makes expected by ``min_z`` standard deviations."""
 
-    min_support: float = 0.005
-    min_count: int = 30
+    min_support: float = 0.0005
+    min_count: int = 5
     min_confidence: float = 0.6
     min_lift: float = 1.5
+    min_z: float = 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -94,7 +96,10 @@ def mine_rules(pages: DataFrame, labels: DataFrame, params: MiningParams = Minin
     if not n:
         return []
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(params.min_support, params.min_count / n)), minConfidence=params.min_confidence).fit(baskets)
-    found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= params.min_lift)).select("antecedent", "confidence").collect()
+    base = F.col("confidence") / F.col("lift")
+    z = (F.col("confidence") - base) / F.sqrt(base * (1 - base) / (n * F.col("support") / F.col("confidence")))
+    # all pages are bad where base is 1, and then no rule has a lift
+    found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= params.min_lift) & (z >= params.min_z)).select("antecedent", "confidence").collect()
     rules = {frozenset(r["antecedent"]): r["confidence"] for r in found}
     # a rule adds nothing to a more general one of no less confidence
     return sorted(((k, c) for k, c in rules.items() if not any(o < k and rules[o] >= c for o in rules)), key=lambda x: (-x[1], sorted(x[0])))
