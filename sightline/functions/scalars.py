@@ -56,3 +56,23 @@ def valid_request_id(text: Column) -> Column:
 
 def valid_query(text: Column) -> Column:
     return F.coalesce((F.trim(text) != "") & (F.length(text) <= 400), F.lit(False))
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter in upper case, the rest as it stands."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
+
+
+def compact_number(x: Column) -> Column:
+    """Millions with M and thousands with K, to one decimal; smaller numbers are rounded."""
+    return F.when(x >= 1e6, F.format_string("%.1fM", F.floor(x / 1e5 + 0.5) / 10)).when(x >= 1e3, F.format_string("%.1fK", F.floor(x / 100 + 0.5) / 10)).otherwise(half_up(x).cast("string"))
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How long ago, in minutes, hours or days; the date from a week on."""
+    age = F.timestamp_diff("SECOND", at, now)
+    steps = [(3600, 60, "m ago"), (86400, 3600, "h ago"), (604800, 86400, "d ago")]
+    text = F.when(age < 60, F.lit("just now"))
+    for end, unit, word in steps:
+        text = text.when(age < end, F.concat(F.floor(age / unit).cast("string"), F.lit(word)))
+    return text.otherwise(F.date_format(at, "yyyy-MM-dd"))

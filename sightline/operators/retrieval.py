@@ -75,7 +75,7 @@ def rerank_for_all(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("
 def blended_for_all(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """``blended_search`` for every query unit."""
     weight = F.when(F.col("unit_type") == "speech", 1.0).when(F.col("unit_type") == "summary", 0.9).otherwise(0.8)
-    blended = scored_for_all(spark, sf_dir).withColumn("blended", F.round(F.col("score") * weight, 5))
+    blended = scored_for_all(spark, sf_dir).withColumn("blended", F.round(F.col("score") * weight, 6))
     one = best_of(blended, ["query_id", "video"], [F.desc("blended"), "unit_id"], 1).drop("place")
     return best_of(one, ["query_id"], [F.desc("blended"), "video"], k).select("query_id", "video", "unit_id", "unit_type", "blended")
 
@@ -99,7 +99,7 @@ ORACLES = {
     "blended_search": f"""SELECT query_id, video, unit_id, unit_type, blended FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, video) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY blended DESC, unit_id) AS n FROM (
-      SELECT *, round(score * CASE unit_type WHEN 'speech' THEN 1.0 WHEN 'summary' THEN 0.9 ELSE 0.8 END, 5) AS blended FROM ({_SCORED}))) WHERE n = 1) WHERE place <= 10""",
+      SELECT *, round(score * CASE unit_type WHEN 'speech' THEN 1.0 WHEN 'summary' THEN 0.9 ELSE 0.8 END, 6) AS blended FROM ({_SCORED}))) WHERE n = 1) WHERE place <= 10""",
     "grounded_answer": f"""SELECT query_id, string_agg(regexp_extract(d.text, '^[^.!?]*[.!?]?', 0), ' ' ORDER BY place) AS answer, count(*) AS sources
 FROM ({_RERANKED}) r JOIN documents d ON d.doc_id = r.unit_id WHERE place <= 3 GROUP BY query_id""",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sightline.operators import retrieval
-from sightline.plans import analytics, operations
+from sightline.plans import analytics, operations, parameters
 from sightline.plans.report import callables
 
 _REPORTS = analytics.REPORTS | operations.REPORTS
@@ -11,5 +11,5 @@ QUERIES: dict = callables(_REPORTS) | {
     "rerank_search": retrieval.rerank_for_all,
     "blended_search": retrieval.blended_for_all,
     "grounded_answer": retrieval.answers_for_all,
-}
-ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | retrieval.ORACLES
+} | parameters.QUERIES
+ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | retrieval.ORACLES | parameters.ORACLES
