@@ -12,8 +12,8 @@ def half_up(x: Column) -> Column:
 
 
 def bounded_percent(used: Column, limit: Column) -> Column:
-    """0 to 100; 0 where there is no limit."""
-    return F.when(limit <= 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), half_up(100 * used / F.nullif(limit, F.lit(0))))).cast("long"))
+    """0 to 100; 0 where there is no limit, null where the use is unknown."""
+    return F.when(limit <= 0, F.lit(0).cast("long")).when(used.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), half_up(100 * used / F.nullif(limit, F.lit(0))))).cast("long"))
 
 
 def guarded_ratio(part: Column, total: Column, default: float | None = 0.0) -> Column:

@@ -124,7 +124,7 @@ SELECT CAST(SUM(credits) AS BIGINT) AS total, CAST(SUM(requests) AS BIGINT) AS s
 SELECT request_id, user_id, CASE WHEN n <= 10 THEN 0 ELSE credits END AS charged, n AS request_of_day
 FROM (SELECT request_id, user_id, credits, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY created_at, request_id) AS n FROM {qlog})"""),
     "wallet_drawdown": Report("""
-WITH c AS (SELECT request_id, user_id, created_at, CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY created_at, request_id) <= 3 THEN 0 ELSE credits END AS cost FROM {qlog}),
+WITH c AS (SELECT request_id, user_id, created_at, CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY created_at, request_id) <= 10 THEN 0 ELSE credits END AS cost FROM {qlog}),
 r AS (SELECT *, CAST(SUM(cost) OVER (PARTITION BY user_id ORDER BY created_at, request_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM c)
 SELECT request_id, user_id, cost, LEAST(spent, 20) - LEAST(spent - cost, 20) AS from_included, cost - (LEAST(spent, 20) - LEAST(spent - cost, 20)) AS from_extra, CASE WHEN 120 - spent < 100 THEN TRUE ELSE FALSE END AS recharge FROM r"""),
     "rate_limit_1s": Report("SELECT user_id, date_trunc('second', created_at) AS second, COUNT(*) AS requests, CASE WHEN COUNT(*) > 1 THEN 429 ELSE 200 END AS status FROM {qlog} GROUP BY user_id, date_trunc('second', created_at)", "SELECT user_id, CAST(date_trunc('second', created_at) AS TIMESTAMP) AS second, COUNT(*) AS requests, CASE WHEN COUNT(*) > 1 THEN 429 ELSE 200 END AS status FROM {qlog} GROUP BY ALL"),

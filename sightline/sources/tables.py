@@ -14,10 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The table at ``path``, or an empty one where nothing is stored."""
+    """The table at ``path``, or an empty one where nothing is stored; other errors stay errors."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -27,8 +29,13 @@ def read_json(spark: SparkSession, path: str, schema: str, required: tuple[str,
     return df.filter(" AND ".join(f"{c} IS NOT NULL" for c in required)) if required else df
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, partitions: int = 5) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, numPartitions=partitions).load()
+def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, low=None, high=None, partitions: int = 5) -> DataFrame:
+    """The rows of ``query``; with a numeric or time ``column`` of values from low to high, its range is
+    read in parts, else in one task."""
+    reader = spark.read.format("jdbc").option("url", url)
+    if column is None:
+        return reader.option("query", query).load()
+    return reader.options(dbtable=f"({query}) AS part", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=partitions).load()
 
 
 def only_new(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
