@@ -188,7 +188,7 @@ NO_BOUND = 2**40
 def bound(a: np.ndarray, b: np.ndarray, over: int = FULL) -> np.ndarray:
     """Summed coordinate minima, or no bound where both sides have full coordinates."""
     full = (a.max(-1) >= over) & (b.max(-1) >= over)
-    return np.where(full, NO_BOUND, np.minimum(a, b).sum(-1, dtype=np.uint32))
+    return np.where(full, NO_BOUND, np.minimum(a, b).sum(-1, dtype=np.uint32).astype(np.int64))
 
 
 def folded(points: np.ndarray, by: int = 4) -> np.ndarray:

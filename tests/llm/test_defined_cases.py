@@ -141,7 +141,9 @@ def test_shared_counts():
 def test_bounds():
     rng = np.random.default_rng(2)
     a, b = (rng.poisson(3, (40, 64)).clip(max=15).astype(np.uint8) for _ in "ab")
+    a[:5, 3], b[:5, 9] = 15, 15
     fine = near_duplicates.bound(a, b)
+    assert (fine[:5] == near_duplicates.NO_BOUND).all()
     coarse = near_duplicates.bound(near_duplicates.folded(a), near_duplicates.folded(b), near_duplicates.OVER)
     assert (fine >= np.minimum(a, b).sum(axis=1)).all() and (coarse >= np.where(fine == near_duplicates.NO_BOUND, 0, fine)).all()
     assert (near_duplicates.unpacked([near_duplicates.packed(x) for x in a], 64) == a).all()
