@@ -13,9 +13,12 @@ coordinate minima, for single points and for the corner points of tree nodes ali
    In each group of sets with a common first shingle, every set is paired with a pivot of fitting
    size; pairs that survive the bound are verified, which joins most near copies at once.
 4. The same with the set that shares most with others as the center of each group.
-5. Where more than three sets of several components still share a first shingle, an R-tree over the points finds
-   the pairs whose bound suffices; those that come up in k groups are verified too. Long groups are
-   cut into chunks, the tree's upper nodes: only chunks whose corners reach the bound meet.
+5. Where more than three sets of several components still share a first shingle, an R-tree over the points
+   finds for each set the one of another component that its bound puts nearest. That pair is verified, which
+   joins what links with many sets of a large component by one link of each.
+6. In the groups that still hold several components, the tree finds all pairs whose bound suffices; those
+   that come up in k groups are verified too. Long groups are cut into chunks, the tree's upper nodes:
+   only chunks whose corners reach the bound meet.
 
 No link between different sets is lost, and no group is expanded into all of its pairs.
 
@@ -64,6 +67,7 @@ class JaccardParams:
     leaf: int = 32
     run: int = 256
     star_rounds: int = 2
+    nearest_rounds: int = 1
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -242,9 +246,16 @@ class CountTree:
         return self.order[at]
 
 
-def _tree_pairs(p: JaccardParams):
-    """Rows in order of tile and size: pairs of different components that may be linked. A tile of
-    two chunks pairs across them, a tile of one chunk within it."""
+def closeness(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
+    """The greatest similarity that the bound allows."""
+    common = np.minimum(bound(a, b), np.minimum(na, nb))
+    return common / (na + nb - common)
+
+
+def _tree_pairs(p: JaccardParams, nearest: bool = False):
+    """Rows in order of tile and size: pairs of different components that may be linked, or only the
+    ``nearest`` partner of each row of a tile. A tile of two chunks pairs across them, a tile of one
+    chunk within it."""
 
     def tile(points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row positions of the pairs of a long run, by the tree. The rows of its largest component are
@@ -257,12 +268,22 @@ def _tree_pairs(p: JaccardParams):
         for k in np.flatnonzero(comps != largest).tolist():
             found = tree.search(points[k], sizes[k], p.percent)
             found = found[((found < k) | (comps[found] == largest)) & (comps[found] != comps[k]) & ((chunk[found] != chunk[k]) | (not across))]
+            if nearest and len(found):
+                found = found[[np.argmax(closeness(points[found], points[k], sizes[found], sizes[k]))]]
             left.append(np.full(len(found), k))
             right.append(found)
         return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
 
+    def nearest_of(a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+        """The nearest one of the partners b of each row a."""
+        parts = [closeness(points[a[k : k + p.tile]], points[b[k : k + p.tile]], n[a[k : k + p.tile]], n[b[k : k + p.tile]]) for k in range(0, len(a), p.tile)]
+        score = np.concatenate([np.zeros(0), *parts])
+        order = np.lexsort((ids[b], -score, a))
+        order = order[np.diff(a[order], prepend=-1) > 0]
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[order]], pa.int64()), pa.array(ids[b[order]], pa.int64()), pa.array(score[order], pa.float64())], names=["a", "b", "score"])
+
     def pairs(g: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        """All pairs of whole runs, with how often each occurs."""
+        """The pairs of whole runs, with how often each occurs."""
         *_, ids, n, comps, chunk, points = g
         points = unpacked([points.tobytes()], p.groups)
         coarse = folded(points)
@@ -289,6 +310,8 @@ def _tree_pairs(p: JaccardParams):
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
         ok = comps[a] != comps[b]
         a, b = a[ok], b[ok]
+        if nearest:
+            return nearest_of(a, b, ids, n, points)
         out = pd.DataFrame({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b]), "k": common_prefix(np.minimum(n[a], n[b]))})
         return pa.RecordBatch.from_pandas(out.groupby(["a", "b", "k"], as_index=False).size().rename(columns={"size": "c"}), preserve_index=False)
 
@@ -443,23 +466,37 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
         stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
         return components(stars.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    # In runs that still hold several components, every set is paired with the one that shares most
-    # with others: the text that a group was copied from, as a rule. What this leaves is few.
-    rows = _open_rows(shared.select("h", "id", "n"), joined)
-    release(shared)
-    for _ in range(p.star_rounds):
+    def around(rows: DataFrame) -> DataFrame:
+        """Every set with the one of its run that shares most with others: the text that a group was
+        copied from, as a rule."""
         weight = rows.groupBy("id").agg(F.sum("m").alias("weight"))
         heavy = rows.join(weight, "id").groupBy("h").agg(F.max_by(F.struct("id", "component"), F.struct("weight", "id")).alias("center"))
-        around = rows.join(heavy, "h").filter("component <> center.component").select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct()
-        found = materialize(verify(materialize(surviving(around), "pairs"), texts, p), "links")
+        pairs = rows.join(heavy, "h").filter("component <> center.component").select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct()
+        return surviving(pairs)
+
+    def in_tiles(rows: DataFrame) -> DataFrame:
+        tiles = _tiles(rows.filter(F.col("m") > p.pairs), points, p)
+        return tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        found = in_tiles(rows).mapInArrow(_tree_pairs(p, nearest=True), "a long, b long, score double")
+        return found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+
+    # Each round leaves fewer runs that hold several components.
+    rows = _open_rows(shared.select("h", "id", "n"), joined)
+    release(shared)
+    spent = None
+    for partners in [around] * p.star_rounds + [nearest] * p.nearest_rounds:
+        if partners is spent:
+            continue  # the same pairs would come up again
+        found = materialize(verify(materialize(partners(rows), "pairs"), texts, p), "links")
         if found.isEmpty():
-            break  # the same centers would come up again
+            spent = partners
+            continue
         joined = with_links(found)
         before, rows = rows, _open_rows(rows.select("h", "id", "n"), joined)
         release(before)
-    few, rows = rows.filter(F.col("m") <= p.pairs), rows.filter(F.col("m") > p.pairs)
-    tiles = _tiles(rows, points, p)
-    placed = tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+    few, placed = rows.filter(F.col("m") <= p.pairs), in_tiles(rows)
     one, other = (few.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     close = (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
     paired = one.join(other, "h").filter(F.col("a") > F.col("b")).filter(close).select("a", "b", (1 + F.floor(F.least("na", "nb") / 20)).alias("k"), F.lit(1).cast("long").alias("c"))
