@@ -3,58 +3,33 @@ answer are deterministic stand-ins for models: term overlap, and the best snippe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.vector_index import IndexParams, SearchParams, build_index, nearest, search_index
 from sightline.sources.logical import transcripts, units
+from sightline.sources.writes import work_dir
 
-
-def similarity(a: Column, b: Column) -> Column:
-    """Cosine of vectors of length one, between 0 and 1."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot))
-
-
-def scored(spark: SparkSession, sf_dir: str, query_unit: int) -> DataFrame:
-    all_units = units(spark, sf_dir)
-    query = all_units.filter(F.col("unit_id") == query_unit).select(F.col("embedding").alias("query")).limit(1)
-    return all_units.filter(F.col("unit_id") != query_unit).crossJoin(F.broadcast(query)).select("unit_id", "video", "unit_type", F.round(similarity(F.col("embedding"), F.col("query")), 6).alias("score"))
-
-
-def rerank_search(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("the", "and", "of"), first: int = 100, k: int = 10) -> DataFrame:
-    """The best ``first`` by vectors, then the best ``k`` by the share of terms in the transcript."""
-    best = scored(spark, sf_dir, 0).orderBy(F.desc("score"), "unit_id").limit(first)
-    words = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.split(F.lower("text"), r"\s+").alias("words"))
-    share = F.size(F.array_intersect("words", F.array(*map(F.lit, terms)))) / len(terms)
-    return best.join(words, "unit_id", "left").select("unit_id", "video", "score", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("rerank_score")).orderBy(F.desc("rerank_score"), F.desc("score"), "unit_id").limit(k)
+#: Units whose id this number divides are the queries of the registered searches.
+EVERY = 50
+WEIGHTS = (("speech", 1.0), ("summary", 0.9), ("visual", 0.8))
 
 
-def blended_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """Weighted modalities; the best unit of each video stays."""
-    weight = F.when(F.col("unit_type") == "speech", 1.0).when(F.col("unit_type") == "summary", 0.9).otherwise(0.8)
-    blended = scored(spark, sf_dir, 0).withColumn("blended", F.round(F.col("score") * weight, 6))
-    n = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("blended"), "unit_id"))
-    return blended.withColumn("n", n).filter("n = 1").select("video", "unit_id", "unit_type", "blended").orderBy(F.desc("blended"), "video").limit(k)
+def query_units(spark: SparkSession, sf_dir: str, every: int = EVERY) -> DataFrame:
+    return units(spark, sf_dir).filter(F.col("unit_id") % every == 0).select(F.col("unit_id").alias("query_id"), "embedding")
 
 
-def grounded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentences of the best three hits' transcripts, in order of rank."""
-    best = rerank_search(spark, sf_dir, k=3).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank_score"), F.desc("score"), "unit_id")) - 1)
-    snippets = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.regexp_extract("text", r"^[^.!?]*[.!?]?", 0).alias("snippet"))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "snippet")))
-    return best.join(snippets, "unit_id").agg(F.array_join(F.transform(ordered, lambda x: x["snippet"]), " ").alias("answer"), F.count("*").alias("sources"))
+def vector_search(spark: SparkSession, sf_dir: str, where: str = "TRUE", k: int = 10) -> DataFrame:
+    """The best k units that fit ``where`` for each query unit, exact."""
+    found = nearest(units(spark, sf_dir).filter(where), query_units(spark, sf_dir), SearchParams(k=k))
+    return found.select("query_id", "unit_id", "video", "unit_type", "score")
 
 
-#: Units whose id this number divides are the queries of the batch forms.
-EVERY = 50
-
-
-def scored_for_all(spark: SparkSession, sf_dir: str, every: int = EVERY) -> DataFrame:
-    """Each query unit with all others: query_id, unit_id, video, unit_type, score."""
-    all_units = units(spark, sf_dir)
-    queries = all_units.filter(F.col("unit_id") % every == 0).select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query"))
-    pairs = all_units.join(queries, F.col("unit_id") != F.col("query_id"))
-    return pairs.select("query_id", "unit_id", "video", "unit_type", F.round(similarity(F.col("embedding"), F.col("query")), 5).alias("score"))
+def indexed_search(spark: SparkSession, sf_dir: str, exact: bool, params: IndexParams = IndexParams(), k: int = 10) -> DataFrame:
+    """The same through inverted lists: the probed ones, or as many as an exact result needs."""
+    index = build_index(units(spark, sf_dir), work_dir(spark, "index"), params)
+    found = search_index(index, query_units(spark, sf_dir), SearchParams(k=k), params.probes, exact)
+    return found.select("query_id", "unit_id", "video", "unit_type", "score")
 
 
 def best_of(rows: DataFrame, by: list[str], order: list, k: int, place: str = "place") -> DataFrame:
@@ -63,8 +38,11 @@ def best_of(rows: DataFrame, by: list[str], order: list, k: int, place: str = "p
 
 
 def rerank_for_all(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("the", "and", "of"), first: int = 100, k: int = 10) -> DataFrame:
-    """``rerank_search`` for every query unit; only transcripts of units found are split into words."""
-    best = best_of(scored_for_all(spark, sf_dir), ["query_id"], [F.desc("score"), "unit_id"], first).drop("place")
+    """The best ``first`` units by vectors, of these the best ``k`` by the share of terms in the transcript.
+    What the vectors find is written, as it says which transcripts are split into words and is then ranked again."""
+    path = work_dir(spark, "found")
+    vector_search(spark, sf_dir, k=first).write.parquet(path)
+    best = spark.read.parquet(path)
     texts = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), "text").join(best.select("unit_id").distinct(), "unit_id", "left_semi")
     words = F.array_distinct(F.split(F.lower("text"), r"[ \t\n\f\r]+"))
     shares = texts.select("unit_id", (F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) / len(terms)).alias("share"))
@@ -73,15 +51,13 @@ def rerank_for_all(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("
 
 
 def blended_for_all(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """``blended_search`` for every query unit."""
-    weight = F.when(F.col("unit_type") == "speech", 1.0).when(F.col("unit_type") == "summary", 0.9).otherwise(0.8)
-    blended = scored_for_all(spark, sf_dir).withColumn("blended", F.round(F.col("score") * weight, 6))
-    one = best_of(blended, ["query_id", "video"], [F.desc("blended"), "unit_id"], 1).drop("place")
-    return best_of(one, ["query_id"], [F.desc("blended"), "video"], k).select("query_id", "video", "unit_id", "unit_type", "blended")
+    """The best unit of each video, with weighted modalities."""
+    found = nearest(units(spark, sf_dir), query_units(spark, sf_dir), SearchParams(k=k, per_video=True, weights=WEIGHTS))
+    return found.select("query_id", "video", "unit_id", "unit_type", F.col("score").alias("blended"))
 
 
 def answers_for_all(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """``grounded_answer`` for every query unit."""
+    """The first sentences of the best hits' transcripts, in order of rank."""
     best = rerank_for_all(spark, sf_dir, k=k)
     snippets = transcripts(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.regexp_extract("text", r"^[^.!?]*[.!?]?", 0).alias("snippet"))
     ordered = F.array_sort(F.collect_list(F.struct("place", "snippet")))  # k rows of each query
@@ -91,10 +67,30 @@ def answers_for_all(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
 _SCORED = """SELECT q.vec_id AS query_id, u.vec_id AS unit_id, CAST(u.label AS BIGINT) AS video, CASE u.vec_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'speech' ELSE 'visual' END AS unit_type,
   round(greatest(least(list_sum(list_transform(range(1, len(u.embedding) + 1), lambda i: u.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 1), 0), 5) AS score
 FROM embeddings u JOIN embeddings q ON q.vec_id % 50 = 0 AND u.vec_id <> q.vec_id"""
+
+
+def _best_sql(where: str, k: int) -> str:
+    return f"""SELECT query_id, unit_id, video, unit_type, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS place FROM ({_SCORED}) WHERE {where}) WHERE place <= {k}"""
+
+
+FILTER = "unit_type = 'speech' AND video BETWEEN 2 AND 8"
 _RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, unit_id) AS place FROM (
   SELECT s.*, round(coalesce(len(list_intersect(regexp_split_to_array(lower(d.text), '[ \\t\\n\\f\\r]+'), ['the', 'and', 'of'])) / 3, 0), 6) AS rerank_score
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS n FROM ({_SCORED})) s LEFT JOIN documents d ON d.doc_id = s.unit_id WHERE n <= 100)"""
+QUERIES = {
+    "vector_search": vector_search,
+    "filtered_search": lambda spark, sf_dir: vector_search(spark, sf_dir, FILTER, 20),
+    "vector_index_search": lambda spark, sf_dir: indexed_search(spark, sf_dir, exact=False),
+    "vector_index_exact": lambda spark, sf_dir: indexed_search(spark, sf_dir, exact=True),
+    "rerank_search": rerank_for_all,
+    "blended_search": blended_for_all,
+    "grounded_answer": answers_for_all,
+}
 ORACLES = {
+    "vector_search": _best_sql("TRUE", 10),
+    "vector_index_exact": _best_sql("TRUE", 10),
+    "filtered_search": _best_sql(FILTER, 20),
     "rerank_search": f"SELECT query_id, place, unit_id, video, score, rerank_score FROM ({_RERANKED}) WHERE place <= 10",
     "blended_search": f"""SELECT query_id, video, unit_id, unit_type, blended FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, video) AS place FROM (

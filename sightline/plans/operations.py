@@ -8,19 +8,6 @@ STATUS = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("p
 LATEST = "SELECT *, ROW_NUMBER() OVER (PARTITION BY {0} ORDER BY created_at DESC, job_id DESC) AS n FROM {{job}}"
 SOON = f"created_at >= ts'2001-05-01 00:00:00' AND created_at < ts'{JOBS_AS_OF}'"
 BEFORE = "created_at >= ts'2001-01-29 00:00:00' AND created_at < ts'2001-05-01 00:00:00'"
-#: Similarity to a query unit, in Spark's and DuckDB's words; embeddings have length one.
-DOT = "aggregate(zip_with(u.embedding, q.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (a, b) -> a + b)"
-DOT_DUCKDB = "list_sum(list_transform(range(1, len(u.embedding) + 1), lambda i: CAST(u.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
-
-
-def search(where: str, k: int = 10) -> Report:
-    """The best k units for each query: every unit whose id is divisible by 50 asks all others."""
-    scored = "SELECT q.unit_id AS query_id, u.unit_id, u.video, u.unit_type, ROUND(LEAST(GREATEST([dot], 0), 1), 5) AS score FROM {unit} u JOIN (SELECT unit_id, embedding FROM {unit} WHERE unit_id % 50 = 0) q ON u.unit_id <> q.unit_id WHERE [where]"
-    ranked = f"SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS place FROM ({scored})"
-    sql = f"SELECT query_id, unit_id, video, unit_type, score FROM ({ranked}) WHERE place <= [k]"
-    sql = sql.replace("[where]", where).replace("[k]", str(k))
-    return Report(sql.replace("[dot]", DOT), sql.replace("[dot]", DOT_DUCKDB))
-
 
 REPORTS: dict[str, Report] = {
     "content_summary": Report("SELECT unit_type, COUNT(*) AS units, COUNT(DISTINCT video) AS videos FROM {unit} GROUP BY unit_type"),
@@ -71,8 +58,6 @@ SELECT user_id, name, version FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY us
     "worker_liveness": Report("""
 WITH h AS (SELECT user_id AS worker, MAX(created_at) AS last_heartbeat FROM {qlog} WHERE created_at < ts'2024-01-30 12:00:00' GROUP BY user_id)
 SELECT worker, last_heartbeat, CASE WHEN last_heartbeat >= ts'2024-01-30 11:59:00' THEN 'online' WHEN last_heartbeat >= ts'2024-01-30 11:55:00' THEN 'stale' ELSE 'offline' END AS state FROM h"""),
-    "vector_search": search("TRUE"),
-    "filtered_search": search("u.unit_type = 'speech' AND u.video BETWEEN 2 AND 8", 20),
     "slugify": Report("SELECT doc_id, regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-'), '^-|-$', '') AS slug FROM {script}", "SELECT doc_id, regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {script}"),
     "error_preview": Report("SELECT doc_id, left(substring_index(text, chr(10), 1), 96) AS preview FROM {script}", "SELECT doc_id, left(split_part(text, chr(10), 1), 96) AS preview FROM {script}"),
     "key_hash": Report("SELECT user_id, sha2(name, 256) AS key_hash, substring(name, 1, 8) AS key_prefix FROM {usr}", "SELECT user_id, sha256(name) AS key_hash, substring(name, 1, 8) AS key_prefix FROM {usr}"),

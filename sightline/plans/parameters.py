@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.scalars import capitalised, compact_number, relative_time
-from sightline.operators.retrieval import best_of, scored_for_all
+from sightline.operators import vector_index
+from sightline.operators.retrieval import query_units
 from sightline.plans.report import JOBS_AS_OF, Report
-from sightline.sources.logical import jobs, query_log, transcripts
+from sightline.sources.logical import jobs, query_log, transcripts, units
 
 
 def present(params) -> dict:
@@ -40,11 +41,12 @@ class LogParams:
     surface: str | None = None
     start: datetime.datetime | None = None
     end: datetime.datetime | None = None
-    limit: int = 50
-    offset: int = 0
+    limit: int | None = 50
+    offset: int | None = 0
 
     def page(self) -> tuple[int, int]:
-        return max(1, min(100, self.limit)), max(0, self.offset)
+        """What is not given falls back to the first 50."""
+        return max(1, min(100, 50 if self.limit is None else self.limit)), max(0, self.offset or 0)
 
 
 def query_logs(spark: SparkSession, sf_dir: str, params: LogParams = LogParams()) -> DataFrame:
@@ -92,6 +94,8 @@ def search_units(spark: SparkSession, sf_dir: str, params: SearchParams = Search
     """The best units for each query unit among those whose transcript fits the filters."""
     script = transcripts(spark, sf_dir).withColumn("published_at", F.expr("date_add(DATE'2024-01-01', CAST(doc_id % 365 AS INT))"))
     given = present(params)
+    if given.get("min_duration") == 0:
+        del given["min_duration"]  # no least duration is no filter
     fitting = filtered(script, given, {
         "speaker": lambda x: F.col("speaker") == x,
         "source": lambda x: F.col("lang") == x,
@@ -99,10 +103,11 @@ def search_units(spark: SparkSession, sf_dir: str, params: SearchParams = Search
         "min_duration": lambda x: F.col("n_chars") >= x,
         "max_duration": lambda x: F.col("n_chars") <= x,
     })
-    scored = scored_for_all(spark, sf_dir)
+    rows = units(spark, sf_dir)
     if given.keys() & {"speaker", "source", "published_after", "min_duration", "max_duration"}:
-        scored = scored.join(fitting.select(F.col("doc_id").alias("unit_id")), "unit_id", "left_semi")
-    return best_of(scored, ["query_id"], [F.desc("score"), "unit_id"], params.max_results).select("query_id", "unit_id", "video", "score")
+        rows = rows.join(fitting.select(F.col("doc_id").alias("unit_id")), "unit_id", "left_semi")
+    found = vector_index.nearest(rows, query_units(spark, sf_dir), vector_index.SearchParams(k=params.max_results))
+    return found.select("query_id", "unit_id", "video", "score")
 
 
 def job_display(spark: SparkSession, sf_dir: str) -> DataFrame:

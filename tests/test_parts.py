@@ -7,7 +7,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars
-from sightline.operators import retrieval
 from sightline.sources.tables import only_new, read, read_or_empty
 from sightline.streaming import events as streaming
 
@@ -34,13 +33,6 @@ def test_scalars(spark):
     assert value(spark, scalars.valid_request_id(F.lit("req_" + "0" * 24)))
 
 
-def test_retrieval(spark):
-    assert [r.score for r in retrieval.rerank_search(spark, SF).collect()]
-    best = retrieval.blended_search(spark, SF).collect()
-    assert len({r.video for r in best}) == len(best) == 10
-    assert retrieval.grounded_answer(spark, SF).first().sources == 3
-
-
 def test_tables(spark):
     assert read_or_empty(spark, "/nowhere/x.parquet", "a long").count() == 0
     with pytest.raises(AnalysisException):
