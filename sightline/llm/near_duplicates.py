@@ -31,6 +31,7 @@ table gives an empty result; other columns are ignored, so their names cannot cl
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,12 +71,21 @@ class JaccardParams:
     nearest_rounds: int = 1
 
 
+#: Words of more bytes get a hash without algebraic structure: long words can cancel in a polynomial modulo 2^64
+#: whatever its base, as the Thue-Morse words of 1,024 letters do.
+LONG_WORD = 32
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of each word."""
     a = np.frombuffer(raw, np.uint8)
     gap = np.concatenate(([True], _space[a], [True]))
     starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    return PartHashes(a).of(starts, ends)
+    out = PartHashes(a).of(starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8, key=b"words").digest()
+        out[k] = np.uint64(int.from_bytes(digest, "little"))
+    return out
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:

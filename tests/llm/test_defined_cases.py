@@ -164,3 +164,45 @@ def test_spooled_groups(spark, shard):
             if count[t[i : i + 200]] > 1:
                 mark[i : i + 200] = True
         assert bytes(r.kept).decode() == "".join(x for x, m in zip(t, mark, strict=True) if not m)
+
+
+def test_words_that_cancel_in_polynomials(spark):
+    """The Thue-Morse words of 1,024 letters differ, so their documents are not linked; equal ones are."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"{a} {a} {b} {a} {b} x"), (4, f"{b} {a} {b} {a} {a} x"), (5, b), (6, "w " * 20 + a), (7, "w " * 20 + b)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 6, 7: 7}
+
+
+def test_repeated_words_take_linear_work():
+    import time
+
+    n, began = 200_000, time.process_time()
+    auto = decontaminate.SuffixAutomaton([(1, [b"a"] * n), (2, [b"a"] * 3), (3, [b"b", b"a"])], 13)
+    hit, items = auto.hits([b"c"] + [b"a"] * n + [b"b"])
+    assert hit.sum() == n and items == {1, 2} and time.process_time() - began < 20
+
+
+def test_many_automata(spark):
+    """One automaton or many, built in tasks: the same hits as brute force."""
+    rng = random.Random(12)
+    words = lambda n, m=30: [f"w{rng.randrange(m)}" for _ in range(n)]
+    items = [(k, " ".join(words(rng.choice([2, 5, 13, 30])))) for k in range(40)] + [(40, None), (41, "...")]
+    docs = [(k, " ".join(words(100) + items[k % 40][1].split() + words(20))) for k in range(30)] + [(99, None), (None, items[2][1])]
+    expected = {}
+    for d, text in docs:
+        w, hit, seen = (text or "").split(), set(), set()
+        for item, t in items:
+            of = (t or "").replace(".", "").split()
+            for window in {tuple(of[i : i + 13]) for i in range(max(1, len(of) - 12))} if of else ():
+                for i in range(len(w) - len(window) + 1):
+                    if tuple(w[i : i + len(window)]) == window:
+                        hit |= set(range(i, i + len(window)))
+                        seen.add(item)
+        expected[d] = (len(w), len(hit), sorted(seen))
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    df = spark.createDataFrame([(*x, "row", 1) for x in docs], "doc_id long, text string, row string, n_words int").repartition(4)
+    for limit, size in ((200_000, 2**25), (60, 2**25), (200_000, 150)):
+        found = decontaminate.find_contamination(df, bench, decontaminate.DecontaminationParams(max_automaton_words=limit, max_automaton_bytes=size), carried=("row",))
+        assert {r.doc_id: (r.n_words, sum(s.b - s.a for s in r.spans), sorted(r["items"])) for r in found.collect()} == expected
