@@ -69,10 +69,10 @@ def compact_number(x: Column) -> Column:
 
 
 def relative_time(at: Column, now: Column) -> Column:
-    """How long ago, in minutes, hours or days; the date from a week on."""
+    """How long ago, in minutes, hours or days; month and day from a week on."""
     age = F.timestamp_diff("SECOND", at, now)
     steps = [(3600, 60, "m ago"), (86400, 3600, "h ago"), (604800, 86400, "d ago")]
-    text = F.when(age < 60, F.lit("just now"))
+    text = F.when(age < 60, F.lit("Just now"))
     for end, unit, word in steps:
         text = text.when(age < end, F.concat(F.floor(age / unit).cast("string"), F.lit(word)))
-    return text.otherwise(F.date_format(at, "yyyy-MM-dd"))
+    return text.otherwise(F.date_format(at, "MMM d"))

@@ -18,13 +18,6 @@ def filled(sql: str) -> Report:
     return Report(sql.replace("[days]", f"({DAYS})"), sql.replace("[days]", f"({DAYS_DUCKDB})"))
 
 
-def percentiles(sql: str) -> Report:
-    """``[p:x]`` is the exact, interpolated x-quantile of the latency."""
-    import re
-
-    return Report(re.sub(r"\[p:([0-9.]+)\]", r"percentile(latency_ms, \1)", sql), re.sub(r"\[p:([0-9.]+)\]", r"quantile_cont(latency_ms, \1)", sql))
-
-
 ITEM = f"COUNT(*) AS impressions, CAST(SUM(clicked) AS BIGINT) AS clicks, ROUND(SUM(clicked) / COUNT(*), 6) AS ctr, {ADJUSTED}, ROUND(AVG(rank), 6) AS average_rank, COUNT(DISTINCT query_text) AS queries_seen, COUNT(DISTINCT CASE WHEN clicked = 1 THEN query_text END) AS queries_clicked"
 
 REPORTS: dict[str, Report] = {
@@ -99,11 +92,6 @@ SELECT q.user_id, u.name, u.tier, q.request_count, q.credits_used, q.last_reques
 LEFT JOIN {usr} u ON q.user_id = u.user_id ORDER BY request_count DESC, q.user_id LIMIT 10"""),
     "recent_users": Report("SELECT user_id, MAX(created_at) AS signed_up_at FROM {qlog} WHERE event_type = 'signup' GROUP BY user_id ORDER BY signed_up_at DESC, user_id LIMIT 10"),
     "requests_summary": Report("SELECT COUNT(*) AS requests, ROUND(SUM(credits) / COUNT(*), 6) AS average_credits, ROUND(COUNT(*) FILTER (WHERE result_count = 0) / COUNT(*), 6) AS zero_result_rate, ROUND(COUNT(*) FILTER (WHERE include_answer) / COUNT(*), 6) AS answer_usage_rate FROM {qlog}"),
-    "latency_percentiles": percentiles("SELECT ROUND([p:0.5], 4) AS p50, ROUND([p:0.95], 4) AS p95, ROUND([p:0.99], 4) AS p99 FROM {qlog}"),
-    "daily_latency_p95": percentiles("SELECT CAST(created_at AS DATE) AS day, ROUND([p:0.95], 4) AS latency_p95_ms FROM {qlog} GROUP BY CAST(created_at AS DATE)"),
-    "daily_series": filled("""
-SELECT c.day, COALESCE(q.requests, 0) AS requests, COALESCE(q.credits_used, 0) AS credits_used, COALESCE(q.zero_result_queries, 0) AS zero_result_queries
-FROM [days] c LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS requests, CAST(SUM(credits) AS BIGINT) AS credits_used, COUNT(*) FILTER (WHERE result_count = 0) AS zero_result_queries FROM {qlog} GROUP BY CAST(created_at AS DATE)) q ON c.day = q.day"""),
     "credit_breakdown": Report("""
 WITH w AS (SELECT user_id, CAST(FLOOR(GREATEST(balance, 0)) AS BIGINT) AS total, tier FROM {usr}), p AS (SELECT user_id, total, LEAST(total, 3000) AS included, LEAST(GREATEST(total - 3000, 0), 1000) AS bonus FROM w)
 SELECT user_id, total, included, bonus, GREATEST(total - included - bonus, 0) AS other, ROUND(included / GREATEST(total, 1), 6) AS included_share FROM p"""),
@@ -120,13 +108,6 @@ SELECT CAST(SUM(credits) AS BIGINT) AS total, CAST(SUM(requests) AS BIGINT) AS s
     "last_n_days": Report("SELECT day, requests FROM (SELECT day, requests, ROW_NUMBER() OVER (ORDER BY day DESC) AS n FROM (SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS requests FROM {qlog} GROUP BY CAST(created_at AS DATE))) WHERE n <= 14"),
     "query_log_page": Report(f"SELECT request_id, user_id, query_text, surface, result_count, created_at FROM {{qlog}} WHERE {CUR} AND contains(lower(query_text), 'query 1') AND surface = 'api' ORDER BY created_at DESC, request_id LIMIT 50 OFFSET 50"),
     "query_log_lookup": Report("SELECT * FROM {qlog} WHERE request_id = 17"),
-    "search_cost": Report("""
-SELECT request_id, user_id, CASE WHEN n <= 10 THEN 0 ELSE credits END AS charged, n AS request_of_day
-FROM (SELECT request_id, user_id, credits, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY created_at, request_id) AS n FROM {qlog})"""),
-    "wallet_drawdown": Report("""
-WITH c AS (SELECT request_id, user_id, created_at, CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY created_at, request_id) <= 10 THEN 0 ELSE credits END AS cost FROM {qlog}),
-r AS (SELECT *, CAST(SUM(cost) OVER (PARTITION BY user_id ORDER BY created_at, request_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM c)
-SELECT request_id, user_id, cost, LEAST(spent, 20) - LEAST(spent - cost, 20) AS from_included, cost - (LEAST(spent, 20) - LEAST(spent - cost, 20)) AS from_extra, CASE WHEN 120 - spent < 100 THEN TRUE ELSE FALSE END AS recharge FROM r"""),
     "rate_limit_1s": Report("SELECT user_id, date_trunc('second', created_at) AS second, COUNT(*) AS requests, CASE WHEN COUNT(*) > 1 THEN 429 ELSE 200 END AS status FROM {qlog} GROUP BY user_id, date_trunc('second', created_at)", "SELECT user_id, CAST(date_trunc('second', created_at) AS TIMESTAMP) AS second, COUNT(*) AS requests, CASE WHEN COUNT(*) > 1 THEN 429 ELSE 200 END AS status FROM {qlog} GROUP BY ALL"),
     "click_dedup": Report("SELECT user_id, video, MIN(request_id) AS first_request, COUNT(*) AS clicks FROM {impr} WHERE clicked = 1 GROUP BY user_id, video"),
     "daily_trend": Report("SELECT CAST(window.start AS DATE) AS day, event_type, n FROM (SELECT window(created_at, '1 day') AS window, event_type, COUNT(*) AS n FROM {qlog} GROUP BY window(created_at, '1 day'), event_type)", "SELECT CAST(created_at AS DATE) AS day, event_type, COUNT(*) AS n FROM {qlog} GROUP BY CAST(created_at AS DATE), event_type"),

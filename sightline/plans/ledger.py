@@ -57,13 +57,17 @@ def day_of(at: Column) -> Column:
     return F.date_diff(at.cast("date"), F.lit(FIRST_DAY).cast("date"))
 
 
+def _costs(spark: SparkSession, sf_dir: str, free: int = 10) -> DataFrame:
+    """request_id, user_id, created_at, day, cost and the request's number on the user's day."""
+    rows = query_log(spark, sf_dir).select("request_id", "user_id", "created_at", "credits", day_of(F.col("created_at")).alias("day"))
+    counted = running(rows, ["user_id", "day"], F.date_trunc("minute", "created_at"), ["created_at", "request_id"], request_of_day=F.lit(1))
+    return counted.withColumn("cost", F.when(F.col("request_of_day") <= free, F.lit(0)).otherwise(F.col("credits")).cast("long")).drop("credits")
+
+
 def request_costs(spark: SparkSession, sf_dir: str, p: LedgerParams) -> DataFrame:
     """request_id, user_id, day, cost and the day's running cost after the request."""
-    rows = query_log(spark, sf_dir).select("request_id", "user_id", "created_at", "credits", day_of(F.col("created_at")).alias("day"))
-    minute, keys, order = F.date_trunc("minute", "created_at"), ["user_id", "day"], ["created_at", "request_id"]
-    counted = running(rows, keys, minute, order, nth=F.lit(1))
-    costs = counted.withColumn("cost", F.when(F.col("nth") <= p.free, F.lit(0)).otherwise(F.col("credits")).cast("long"))
-    return running(costs, keys, minute, order, spent=F.col("cost")).select("request_id", "user_id", "day", "cost", "spent")
+    spent = running(_costs(spark, sf_dir, p.free), ["user_id", "day"], F.date_trunc("minute", "created_at"), ["created_at", "request_id"], spent=F.col("cost"))
+    return spent.select("request_id", "user_id", "day", "cost", "spent")
 
 
 def grants(spark: SparkSession, sf_dir: str, p: LedgerParams) -> DataFrame:
@@ -147,6 +151,18 @@ def grant_charges(spark: SparkSession, sf_dir: str, params: LedgerParams = Ledge
     return out.unionByName(costs.filter("cost = 0").select("request_id", "user_id", F.lit("free").alias("kind"), none.alias("usable_from"), none.alias("expires"), F.lit(0).cast("long").alias("charged")))
 
 
+def search_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request costs, and its number on the user's day."""
+    return _costs(spark, sf_dir).select("request_id", "user_id", F.col("cost").alias("charged"), "request_of_day")
+
+
+def wallet_drawdown(spark: SparkSession, sf_dir: str, included: int = 20, bought: int = 100, threshold: int = 100) -> DataFrame:
+    """Each request's cost from included and then from extra credits, and whether the balance falls below the threshold."""
+    spent = running(_costs(spark, sf_dir), ["user_id"], F.date_trunc("minute", "created_at"), ["created_at", "request_id"], spent=F.col("cost"))
+    first = F.least("spent", F.lit(included)) - F.least(F.col("spent") - F.col("cost"), F.lit(included))
+    return spent.select("request_id", "user_id", "cost", first.cast("long").alias("from_included"), (F.col("cost") - first).cast("long").alias("from_extra"), (included + bought - F.col("spent") < threshold).alias("recharge"))
+
+
 def wallet_grants(spark: SparkSession, sf_dir: str, params: LedgerParams) -> DataFrame:
     """What each grant has left at the end: user_id, kind, usable_from, expires, credits."""
     rows = allocation(request_costs(spark, sf_dir, params), grants(spark, sf_dir, params), params).filter("kind <> 'unpaid'")
@@ -169,6 +185,8 @@ def expiring_grants(spark: SparkSession, sf_dir: str, params: LedgerParams = Led
 
 
 QUERIES = {
+    "search_cost": search_cost,
+    "wallet_drawdown": wallet_drawdown,
     "grant_charges": grant_charges,
     "grant_charges_metered": lambda spark, sf_dir: grant_charges(spark, sf_dir, LedgerParams(free=0)),
     "wallet_balance": wallet_balance,
@@ -215,7 +233,11 @@ UNION ALL SELECT request_id, user_id, 'free', NULL, NULL, 0 FROM cost WHERE cost
 
 
 _LAST = f"WITH {_ledger_sql(0)}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS n FROM walk) JOIN lists USING (user_id) WHERE n = 1), rest AS (SELECT user_id, kinds[i] AS kind, froms[i] AS usable_from, untils[i] AS expires, remain[i] AS credits FROM last, range(1, 1000) r(i) WHERE i <= len(remain))"
+_LOG = "SELECT event_id AS request_id, user_id, ts, 1 + (event_id % 5 = 0)::BIGINT AS credits, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events"
 ORACLES = {
+    "search_cost": f"SELECT request_id, user_id, CASE WHEN n <= 10 THEN 0 ELSE credits END AS charged, n AS request_of_day FROM ({_LOG})",
+    "wallet_drawdown": f"""SELECT request_id, user_id, cost, least(spent, 20) - least(spent - cost, 20) AS from_included, cost - (least(spent, 20) - least(spent - cost, 20)) AS from_extra, 120 - spent < 100 AS recharge
+FROM (SELECT *, sum(cost) OVER (PARTITION BY user_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM (SELECT *, CASE WHEN n <= 10 THEN 0 ELSE credits END::BIGINT AS cost FROM ({_LOG})))""",
     "grant_charges": _charges_sql(10),
     "grant_charges_metered": _charges_sql(0),
     "wallet_balance": f"""{_LAST}, open AS (SELECT * FROM rest WHERE usable_from <= 29 AND expires > 29)

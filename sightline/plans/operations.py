@@ -7,7 +7,6 @@ from sightline.plans.report import JOBS_AS_OF, Report
 STATUS = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("pending", "running", "retrying", "completed", "failed"))
 LATEST = "SELECT *, ROW_NUMBER() OVER (PARTITION BY {0} ORDER BY created_at DESC, job_id DESC) AS n FROM {{job}}"
 SOON = f"created_at >= ts'2001-05-01 00:00:00' AND created_at < ts'{JOBS_AS_OF}'"
-BEFORE = "created_at >= ts'2001-01-29 00:00:00' AND created_at < ts'2001-05-01 00:00:00'"
 
 REPORTS: dict[str, Report] = {
     "content_summary": Report("SELECT unit_type, COUNT(*) AS units, COUNT(DISTINCT video) AS videos FROM {unit} GROUP BY unit_type"),
@@ -18,11 +17,9 @@ SELECT created, completed, failed, pending + retrying AS backlog, pending + runn
     "job_status_counts": Report(f"SELECT COUNT(*) AS total, {STATUS} FROM {{job}}"),
     "source_health": Report(f"SELECT source_id, COUNT(*) AS jobs_created, {STATUS}, MAX(created_at) AS last_job_at FROM {{job}} GROUP BY source_id"),
     "failed_steps": Report("SELECT step, COUNT(*) AS failure_count, MAX(finished_at) AS last_failed_at FROM {step} WHERE status = 'failed' GROUP BY step"),
-    "source_analytics": Report(f"SELECT source_id, COUNT(*) FILTER (WHERE {SOON}) AS jobs_created, COUNT(*) FILTER (WHERE status = 'completed' AND {SOON}) AS jobs_completed, COUNT(*) FILTER (WHERE status = 'failed' AND {SOON}) AS jobs_failed, COUNT(*) FILTER (WHERE {BEFORE}) AS prev_jobs_created, COUNT(*) FILTER (WHERE status = 'completed' AND {BEFORE}) AS prev_jobs_completed, COUNT(*) FILTER (WHERE status = 'failed' AND {BEFORE}) AS prev_jobs_failed FROM {{job}} GROUP BY source_id"),
     "worker_node_24h": Report("SELECT worker, COUNT(*) FILTER (WHERE status = 'completed') AS completed, COUNT(*) FILTER (WHERE status = 'failed') AS failed, ROUND(AVG(frames), 4) AS average_frames FROM {step} WHERE finished_at >= ts'2001-07-01 00:00:00' GROUP BY worker"),
     "queue_depth": Report("SELECT COUNT(*) FILTER (WHERE status IN ('pending', 'running', 'retrying')) AS queue_depth, CAST(CASE WHEN COUNT(*) > 0 THEN FLOOR(100 * COUNT(*) FILTER (WHERE status = 'completed') / COUNT(*) + 0.5) ELSE 0 END AS BIGINT) AS completion_percent FROM {job}"),
     "source_progress": Report("SELECT source_id, COUNT(*) AS total, CAST(FLOOR(100 * COUNT(*) FILTER (WHERE status = 'completed') / NULLIF(COUNT(*), 0) + 0.5) AS BIGINT) AS completion_percent FROM {job} GROUP BY source_id"),
-    "scene_route_counts": Report("SELECT job_id, COUNT(*) FILTER (WHERE step % 3 = 0) AS text_only, COUNT(*) FILTER (WHERE step % 3 = 1) AS embed_only, COUNT(*) FILTER (WHERE step % 3 = 2) AS annotate, CAST(SUM(frames) AS BIGINT) AS annotation_frames FROM {step} GROUP BY job_id"),
     "recent_videos_per_source": Report(f"SELECT source_id, job_id, video, created_at, n FROM ({LATEST.format('source_id')}) WHERE n <= 3"),
     "latest_job_per_video": Report(f"SELECT video, job_id, status AS last_job_status, created_at AS last_job_at FROM ({LATEST.format('video')}) WHERE n = 1"),
     "latest_log_per_step": Report("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM {thread}) WHERE n <= 4"),
@@ -43,9 +40,6 @@ GROUP BY source_id, scene"""),
     "job_steps_full": Report("""
 SELECT COALESCE(o.step, s.step) AS step, o.label, COALESCE(s.runs, 0) AS runs FROM (SELECT CAST(1 AS BIGINT) AS step, 'fetch' AS label UNION ALL SELECT 2, 'detect' UNION ALL SELECT 3, 'transcribe' UNION ALL SELECT 9, 'persist') o
 FULL JOIN (SELECT step, COUNT(*) AS runs FROM {step} GROUP BY step) s ON o.step = s.step"""),
-    "step_overlap": Report("""
-SELECT a.job_id, a.step AS left_step, b.step AS right_step FROM {step} a JOIN {step} b ON a.job_id = b.job_id AND a.step < b.step
-AND a.finished_at < b.finished_at + INTERVAL 10 DAY AND b.finished_at < a.finished_at + INTERVAL 10 DAY"""),
     "exists_flags": Report("SELECT u.user_id, EXISTS (SELECT 1 FROM {qlog} q WHERE q.user_id = u.user_id) AS has_requests, EXISTS (SELECT 1 FROM {job} j WHERE j.video = u.user_id) AS has_jobs FROM {usr} u"),
     "insert_if_absent": Report("SELECT q.user_id, MIN(q.created_at) AS first_seen FROM {qlog} q LEFT ANTI JOIN (SELECT user_id FROM {usr} WHERE user_id % 2 = 0) u ON q.user_id = u.user_id GROUP BY q.user_id", "SELECT q.user_id, MIN(q.created_at) AS first_seen FROM {qlog} q WHERE NOT EXISTS (SELECT 1 FROM {usr} u WHERE u.user_id % 2 = 0 AND q.user_id = u.user_id) GROUP BY q.user_id"),
     "upsert_latest": Report("""

@@ -14,7 +14,7 @@ from sightline.functions.scalars import capitalised, compact_number, relative_ti
 from sightline.operators import vector_index
 from sightline.operators.retrieval import query_units
 from sightline.plans.report import JOBS_AS_OF, Report
-from sightline.sources.logical import jobs, query_log, transcripts, units
+from sightline.sources.logical import query_log, timed_jobs, transcripts, units
 
 
 def present(params) -> dict:
@@ -90,6 +90,20 @@ class SearchParams:
             raise ValueError("min_duration must not exceed max_duration")
 
 
+def search_arguments(arguments: dict) -> SearchParams:
+    """The parameters of a tool call, whose filters stand beside the query; unknown arguments are refused."""
+    names = {f.name for f in fields(SearchParams)}
+    unknown = arguments.keys() - names - {"ranking_mode", "include_answer"}
+    if unknown:
+        raise ValueError(f"unknown arguments: {', '.join(sorted(unknown))}")
+    if arguments.get("ranking_mode", "embedding") not in ("embedding", "rerank"):
+        raise ValueError("ranking_mode must be embedding or rerank")
+    given = {k: v for k, v in arguments.items() if k in names and v is not None}
+    if isinstance(given.get("published_after"), str):
+        given["published_after"] = datetime.date.fromisoformat(given["published_after"])
+    return SearchParams(**given)
+
+
 def search_units(spark: SparkSession, sf_dir: str, params: SearchParams = SearchParams()) -> DataFrame:
     """The best units for each query unit among those whose transcript fits the filters."""
     script = transcripts(spark, sf_dir).withColumn("published_at", F.expr("date_add(DATE'2024-01-01', CAST(doc_id % 365 AS INT))"))
@@ -114,10 +128,10 @@ def job_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs as a console shows them: status, size and age in words, and each job's share of its source's peak."""
     now = F.lit(JOBS_AS_OF).cast("timestamp_ntz")
     peak = F.greatest(F.lit(1.0), F.max("processing_ms").over(Window.partitionBy("source_id")))
-    return jobs(spark, sf_dir).select(
+    return timed_jobs(spark, sf_dir).select(
         "job_id", capitalised(F.col("status")).alias("status_text"), compact_number(F.col("processing_ms")).alias("size_text"),
         relative_time(F.col("created_at"), now).alias("age_text"), F.round(F.col("processing_ms") / peak, 6).alias("peak_ratio"),
-        ((F.col("status") == "running") & (F.col("created_at") < now - F.expr("INTERVAL 8 MINUTES"))).alias("long_running"),
+        F.coalesce((F.col("status") == "running") & (F.col("started_at") < now - F.expr("INTERVAL 8 MINUTES")), F.lit(False)).alias("long_running"),
     )
 
 
@@ -140,10 +154,10 @@ _FITTING = "u.unit_id IN (SELECT doc_id FROM {script} WHERE lang = 'en' AND DATE
 _DISPLAY = f"""
 SELECT job_id, upper(left(status, 1)) || substring(status, 2) AS status_text,
   CASE WHEN processing_ms >= 1e6 THEN printf('%.1f', floor(processing_ms / 1e5 + 0.5) / 10) || 'M' WHEN processing_ms >= 1e3 THEN printf('%.1f', floor(processing_ms / 100 + 0.5) / 10) || 'K' ELSE CAST(CAST(floor(processing_ms + 0.5) AS BIGINT) AS VARCHAR) END AS size_text,
-  CASE WHEN age < 60 THEN 'just now' WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' WHEN age < 604800 THEN (age // 86400) || 'd ago' ELSE strftime(created_at, '%Y-%m-%d') END AS age_text,
+  CASE WHEN age < 60 THEN 'Just now' WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' WHEN age < 604800 THEN (age // 86400) || 'd ago' ELSE strftime(created_at, '%b %-d') END AS age_text,
   round(processing_ms / greatest(1, max(processing_ms) OVER (PARTITION BY source_id)), 6) AS peak_ratio,
-  status = 'running' AND created_at < TIMESTAMP '{JOBS_AS_OF}' - INTERVAL 8 MINUTE AS long_running
-FROM (SELECT *, date_diff('second', created_at, TIMESTAMP '{JOBS_AS_OF}') AS age FROM {{job}})"""
+  coalesce(status = 'running' AND started_at < TIMESTAMP '{JOBS_AS_OF}' - INTERVAL 8 MINUTE, FALSE) AS long_running
+FROM (SELECT *, date_diff('second', created_at, TIMESTAMP '{JOBS_AS_OF}') AS age FROM {{tjob}})"""
 ORACLES = {name: Report(sql).oracle() for name, sql in {
     "query_logs": f"{_LOG} ORDER BY created_at DESC, request_id LIMIT 50",
     "query_logs_of_user": f"{_LOG} WHERE user_id = 3 AND lower(query_text) LIKE '%query 1%' AND created_at >= ts'2024-01-05' AND created_at < ts'2024-01-25' ORDER BY created_at DESC, request_id LIMIT 100",

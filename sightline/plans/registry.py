@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from sightline.operators import retrieval
-from sightline.plans import analytics, changes, ledger, operations, parameters
+from sightline.plans import analytics, changes, console, ledger, operations, parameters, telemetry, windows
 from sightline.plans.report import callables
-from sightline.streaming import retries
+from sightline.streaming import liveness, retries
 
 _REPORTS = analytics.REPORTS | operations.REPORTS
-QUERIES: dict = callables(_REPORTS) | retrieval.QUERIES | {
-    "retry_queue": retries.retry_queue,
-} | parameters.QUERIES | ledger.QUERIES | changes.QUERIES
-ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | retrieval.ORACLES | parameters.ORACLES | ledger.ORACLES | changes.ORACLES | {"retry_queue": retries.RETRY_SQL}
+_STREAMED = {"retry_queue": retries.retry_queue, "worker_changes": liveness.worker_changes}
+_MODULES = (retrieval, parameters, ledger, changes, windows, telemetry, console)
+QUERIES: dict = callables(_REPORTS) | _STREAMED
+ORACLES: dict[str, str] = {name: r.oracle() for name, r in _REPORTS.items()} | {"retry_queue": retries.RETRY_SQL, "worker_changes": liveness.CHANGES_SQL}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -10,6 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.sources.logical import DUCKDB, LOGICAL
+from sightline.sources.writes import work_dir
+
+#: Tables that take shuffles to make: a report that names one several times writes it first.
+WRITTEN = {"impr"}
 
 #: The fixed clock of the reports: the day that events end, and the day that jobs end.
 AS_OF, JOBS_AS_OF = "2024-01-30 12:00:00", "2001-08-01 00:00:00"
@@ -25,8 +29,14 @@ class Report:
     duckdb: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = set(re.findall(r"\{(\w+)\}", self.sql))
-        return spark.sql(re.sub(r"\bts'", "TIMESTAMP_NTZ'", self.sql), **{n: LOGICAL[n](spark, sf_dir) for n in names})
+        names = re.findall(r"\{(\w+)\}", self.sql)
+        tables = {n: LOGICAL[n](spark, sf_dir) for n in set(names)}
+        for n in WRITTEN & tables.keys():
+            if names.count(n) > 1:  # it would be computed again for each use
+                path = work_dir(spark, n)
+                tables[n].write.parquet(path)
+                tables[n] = spark.read.schema(tables[n].schema).parquet(path)
+        return spark.sql(re.sub(r"\bts'", "TIMESTAMP_NTZ'", self.sql), **tables)
 
     def oracle(self) -> str:
         sql = self.duckdb or self.sql

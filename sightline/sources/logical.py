@@ -8,36 +8,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.sources.tables import read
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    surface = F.element_at(F.array(*map(F.lit, ("api", "playground", "mcp"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", k.alias("k"),
-        F.when(F.col("event_id") % 4 < 3, surface).alias("surface"), (F.col("event_id") % 5 == 0).alias("include_answer"),
-    )
+def _told(event_id: Column) -> list[Column]:
+    """What the id of an event says of its request: the surface, and whether an answer was asked for."""
+    surface = F.element_at(F.array(*map(F.lit, ("api", "playground", "mcp"))), (event_id % 4 + 1).cast("int"))
+    return [F.when(event_id % 4 < 3, surface).alias("surface"), (event_id % 5 == 0).alias("include_answer")]
 
 
-def _credited(events: DataFrame, kind: str, name: str) -> DataFrame:
-    """Distinct impressions that a later event of ``kind`` is credited to."""
-    same = Window.partitionBy("user_id", F.col("k") % 10).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.filter(F.col("event_type").isin("view", kind)).withColumn("view", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(same))
-    return seen.filter((F.col("event_type") == kind) & F.col("view").isNotNull()).select(F.col("view").alias("request_id")).distinct().withColumn(name, F.lit(1).cast("long"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"), *_told(F.col("event_id")))
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    views = e.filter("event_type = 'view'").select(
-        F.col("event_id").alias("request_id"), "ts", "user_id", F.col("k").alias("video"), (F.col("k") % 10).alias("creator"),
-        (F.col("event_id") % 10).alias("rank"), "surface", "include_answer", F.concat(F.lit("query "), F.col("k").cast("string")).alias("query_text"),
+    """Views, and whether a later click or purchase is credited to them. Events meet in days of a user and creator,
+    whose last views are carried over, so a user with very many events is no single task."""
+    events = _events(spark, sf_dir).filter(F.col("event_type").isin("view", "click", "purchase")).select("event_id", "ts", "user_id", "event_type", "k", (F.col("k") % 10).alias("creator"), F.col("ts").cast("date").alias("day"))
+    is_view, group = F.col("event_type") == "view", ["user_id", "creator", "day"]
+    in_day = Window.partitionBy(*group).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("user_id", "creator").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    last = events.groupBy(*group).agg(F.max(F.when(is_view, F.struct("ts", "event_id")))["event_id"].alias("view"))
+    carried = last.select(*group, F.last("view", ignorenulls=True).over(before).alias("carried"))
+    seen = events.withColumn("view", F.last(F.when(is_view, F.col("event_id")), ignorenulls=True).over(in_day)).join(carried, group, "left")
+    seen = seen.withColumn("view", F.coalesce("view", "carried")).filter("view IS NOT NULL AND (event_type = 'view' OR (user_id IS NOT NULL AND creator IS NOT NULL))")
+    hit = lambda kind: F.max((F.col("event_type") == kind).cast("long"))
+    # all events of a view are of its user; what else is told of it are fixed-width maxima of its own row
+    of_view = seen.groupBy("view").agg(F.max(F.when(is_view, F.col("ts"))).alias("ts"), F.max("user_id").alias("user_id"), F.max(F.when(is_view, F.col("k"))).alias("video"), hit("click").alias("clicked"), hit("purchase").alias("viewed"))
+    return of_view.select(
+        F.col("view").alias("request_id"), "ts", "user_id", "video", (F.col("video") % 10).alias("creator"), (F.col("view") % 10).alias("rank"),
+        *_told(F.col("view")), F.concat(F.lit("query "), F.col("video").cast("string")).alias("query_text"), "clicked", "viewed",
     )
-    out = views.join(_credited(e, "click", "clicked"), "request_id", "left").join(_credited(e, "purchase", "viewed"), "request_id", "left")
-    return out.fillna(0, ["clicked", "viewed"])
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,14 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("video"), F.floor(F.col("o_custkey") / 15).alias("source_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("processing_ms"))
 
 
+def timed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with their start, end and last change. Pending ones have not started; the change may stand before the start."""
+    after = lambda c, **x: c + F.make_dt_interval(**x)
+    started = F.when(F.col("status") != "pending", after(F.col("created_at"), mins=(F.col("job_id") % 50).cast("int")))
+    completed = F.when(F.col("status").isin("completed", "failed"), after(started, secs=F.floor("processing_ms").cast("decimal(18,6)") / 10))
+    return jobs(spark, sf_dir).withColumns({"started_at": started, "completed_at": completed, "updated_at": after(F.col("created_at"), hours=(F.col("job_id") % 7).cast("int"))})
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_partkey", "l_quantity").select(
         F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("long").alias("step"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "completed").otherwise("running").alias("status"),
@@ -91,7 +104,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOGICAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "impr": impressions, "qlog": query_log, "job": jobs, "step": steps, "usr": users, "src": sources,
-    "fb": feedback, "unit": units, "thread": threads, "url": urls, "script": transcripts,
+    "tjob": timed_jobs, "fb": feedback, "unit": units, "thread": threads, "url": urls, "script": transcripts,
 }
 
 #: name -> (logical tables it stands on, DuckDB SQL)
@@ -112,6 +125,8 @@ WHERE v.event_type = 'view'"""),
   CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed'
        WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'retrying' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'running' END AS status,
   o_orderdate AS created_at, o_totalprice AS processing_ms FROM orders"""),
+    "tjob": (("job",), """SELECT *, CASE WHEN status <> 'pending' THEN created_at + INTERVAL 1 MINUTE * (job_id % 50) END AS started_at,
+  CASE WHEN status IN ('completed', 'failed') THEN created_at + INTERVAL 1 MINUTE * (job_id % 50) + INTERVAL 1 MILLISECOND * CAST(floor(processing_ms) * 100 AS BIGINT) END AS completed_at, created_at + INTERVAL 1 HOUR * (job_id % 7) AS updated_at FROM job"""),
     "step": ((), """SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS step, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'completed' ELSE 'running' END AS status,
   l_shipdate AS finished_at, l_partkey AS worker, l_quantity AS frames FROM lineitem"""),
     "usr": ((), "SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS tier, CAST(c_nationkey AS BIGINT) AS region, c_acctbal AS balance FROM customer"),
