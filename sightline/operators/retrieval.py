@@ -25,6 +25,12 @@ def vector_search(spark: SparkSession, sf_dir: str, where: str = "TRUE", k: int
     return found.select("query_id", "unit_id", "video", "unit_type", "score")
 
 
+def result_rank(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The results of each request by score, ranked from 0."""
+    found = nearest(units(spark, sf_dir), query_units(spark, sf_dir), SearchParams(k=k))
+    return found.select(F.col("query_id").alias("request_id"), "unit_id", (F.col("place") - 1).cast("long").alias("result_rank"))
+
+
 def indexed_search(spark: SparkSession, sf_dir: str, exact: bool, params: IndexParams = IndexParams(), k: int = 10) -> DataFrame:
     """The same through inverted lists: the probed ones, or as many as an exact result needs."""
     index = build_index(units(spark, sf_dir), work_dir(spark, "index"), params)
@@ -81,6 +87,7 @@ _RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rera
 QUERIES = {
     "vector_search": vector_search,
     "filtered_search": lambda spark, sf_dir: vector_search(spark, sf_dir, FILTER, 20),
+    "result_rank": result_rank,
     "vector_index_search": lambda spark, sf_dir: indexed_search(spark, sf_dir, exact=False),
     "vector_index_exact": lambda spark, sf_dir: indexed_search(spark, sf_dir, exact=True),
     "rerank_search": rerank_for_all,
@@ -90,6 +97,7 @@ QUERIES = {
 ORACLES = {
     "vector_search": _best_sql("TRUE", 10),
     "vector_index_exact": _best_sql("TRUE", 10),
+    "result_rank": f"SELECT query_id AS request_id, unit_id, place - 1 AS result_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS place FROM ({_SCORED})) WHERE place <= 10",
     "filtered_search": _best_sql(FILTER, 20),
     "rerank_search": f"SELECT query_id, place, unit_id, video, score, rerank_score FROM ({_RERANKED}) WHERE place <= 10",
     "blended_search": f"""SELECT query_id, video, unit_id, unit_type, blended FROM (

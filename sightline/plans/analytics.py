@@ -104,7 +104,6 @@ WITH d AS (SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS requests, CAST(SU
 SELECT CAST(SUM(credits) AS BIGINT) AS total, CAST(SUM(requests) AS BIGINT) AS secondary_total, MAX(CASE WHEN n = 1 THEN day END) AS peak_day, MAX(credits) AS peak FROM r"""),
     "count_guard": Report("SELECT COUNT(*) AS others FROM {usr} WHERE tier = 'BUILDING' AND user_id <> 1"),
     "referral_summary": Report("SELECT region, LEAST(COUNT(*), 100) AS referred, CAST(SUM(CASE WHEN balance > 0 THEN 200 ELSE 0 END) AS BIGINT) AS credits_earned FROM {usr} GROUP BY region"),
-    "result_rank": Report("SELECT request_id, user_id, ROW_NUMBER() OVER (PARTITION BY user_id, video ORDER BY clicked DESC, request_id) - 1 AS result_rank FROM {impr}"),
     "last_n_days": Report("SELECT day, requests FROM (SELECT day, requests, ROW_NUMBER() OVER (ORDER BY day DESC) AS n FROM (SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS requests FROM {qlog} GROUP BY CAST(created_at AS DATE))) WHERE n <= 14"),
     "query_log_page": Report(f"SELECT request_id, user_id, query_text, surface, result_count, created_at FROM {{qlog}} WHERE {CUR} AND contains(lower(query_text), 'query 1') AND surface = 'api' ORDER BY created_at DESC, request_id LIMIT 50 OFFSET 50"),
     "query_log_lookup": Report("SELECT * FROM {qlog} WHERE request_id = 17"),

@@ -17,7 +17,6 @@ SELECT created, completed, failed, pending + retrying AS backlog, pending + runn
     "job_status_counts": Report(f"SELECT COUNT(*) AS total, {STATUS} FROM {{job}}"),
     "source_health": Report(f"SELECT source_id, COUNT(*) AS jobs_created, {STATUS}, MAX(created_at) AS last_job_at FROM {{job}} GROUP BY source_id"),
     "failed_steps": Report("SELECT step, COUNT(*) AS failure_count, MAX(finished_at) AS last_failed_at FROM {step} WHERE status = 'failed' GROUP BY step"),
-    "worker_node_24h": Report("SELECT worker, COUNT(*) FILTER (WHERE status = 'completed') AS completed, COUNT(*) FILTER (WHERE status = 'failed') AS failed, ROUND(AVG(frames), 4) AS average_frames FROM {step} WHERE finished_at >= ts'2001-07-01 00:00:00' GROUP BY worker"),
     "queue_depth": Report("SELECT COUNT(*) FILTER (WHERE status IN ('pending', 'running', 'retrying')) AS queue_depth, CAST(CASE WHEN COUNT(*) > 0 THEN FLOOR(100 * COUNT(*) FILTER (WHERE status = 'completed') / COUNT(*) + 0.5) ELSE 0 END AS BIGINT) AS completion_percent FROM {job}"),
     "source_progress": Report("SELECT source_id, COUNT(*) AS total, CAST(FLOOR(100 * COUNT(*) FILTER (WHERE status = 'completed') / NULLIF(COUNT(*), 0) + 0.5) AS BIGINT) AS completion_percent FROM {job} GROUP BY source_id"),
     "recent_videos_per_source": Report(f"SELECT source_id, job_id, video, created_at, n FROM ({LATEST.format('source_id')}) WHERE n <= 3"),
@@ -46,13 +45,16 @@ FULL JOIN (SELECT step, COUNT(*) AS runs FROM {step} GROUP BY step) s ON o.step
 SELECT user_id, name, version FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY version DESC) AS n FROM (
   SELECT user_id, name, 0 AS version FROM {usr} UNION ALL SELECT user_id + 10, concat('new ', name), 1 FROM {usr} WHERE user_id % 3 = 0)) WHERE n = 1"""),
     "upsert_keep_old": Report("SELECT COALESCE(o.user_id, n.user_id) AS user_id, COALESCE(n.name, o.name) AS name, COALESCE(n.tier, o.tier) AS tier FROM {usr} o FULL JOIN (SELECT user_id + 5 AS user_id, CASE WHEN user_id % 2 = 0 THEN name END AS name, tier FROM {usr} WHERE user_id % 4 = 0) n ON o.user_id = n.user_id"),
-    "delete_cascade": Report("SELECT (SELECT COUNT(*) FROM {unit} WHERE video = 3) AS units_deleted, (SELECT COUNT(*) FROM {job} WHERE video = 3) AS jobs_deleted, (SELECT COUNT(*) FROM {unit} WHERE video <> 3) AS units_left"),
+    "delete_cascade": Report("""
+WITH gone AS (SELECT video FROM {fb} GROUP BY video HAVING SUM(rating) < 0), every AS (SELECT 'unit' AS kind, video FROM {unit} UNION ALL SELECT 'job', video FROM {job})
+SELECT kind, COUNT(g.video) AS deleted, COUNT(*) - COUNT(g.video) AS remaining FROM every e LEFT JOIN gone g ON e.video = g.video GROUP BY kind"""),
+    "cascade_remaining": Report("SELECT j.job_id, j.video FROM {job} j LEFT ANTI JOIN (SELECT video FROM {fb} GROUP BY video HAVING SUM(rating) < 0) g ON j.video = g.video", "SELECT job_id, video FROM {job} WHERE video NOT IN (SELECT video FROM {fb} GROUP BY video HAVING SUM(rating) < 0)"),
     "discovery_filter": Report("SELECT COUNT(*) AS found, COUNT(*) FILTER (WHERE n_chars < 180 OR doc_id % 7 = 0) AS filtered, COUNT(*) FILTER (WHERE n_chars >= 180 AND doc_id % 7 <> 0) AS jobs FROM {script}"),
-    "account_user_join": Report("SELECT lower(u.name) AS account, COUNT(*) AS jobs FROM {usr} u JOIN {job} j ON u.user_id = j.video GROUP BY lower(u.name)"),
+    "account_user_join": Report("SELECT u.user_id, u.tier, COUNT(*) AS jobs FROM {usr} u JOIN (SELECT concat('  CUSTOMER#', lpad(CAST(video AS STRING), 9, '0'), ' ') AS account FROM {job}) j ON lower(trim(j.account)) = lower(trim(u.name)) GROUP BY u.user_id, u.tier"),
     "worker_liveness": Report("""
 WITH h AS (SELECT user_id AS worker, MAX(created_at) AS last_heartbeat FROM {qlog} WHERE created_at < ts'2024-01-30 12:00:00' GROUP BY user_id)
 SELECT worker, last_heartbeat, CASE WHEN last_heartbeat >= ts'2024-01-30 11:59:00' THEN 'online' WHEN last_heartbeat >= ts'2024-01-30 11:55:00' THEN 'stale' ELSE 'offline' END AS state FROM h"""),
-    "slugify": Report("SELECT doc_id, regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-'), '^-|-$', '') AS slug FROM {script}", "SELECT doc_id, regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {script}"),
+    "slugify": Report("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-'), '^-|-$', '') AS slug FROM {script}", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {script}"),
     "error_preview": Report("SELECT doc_id, left(substring_index(text, chr(10), 1), 96) AS preview FROM {script}", "SELECT doc_id, left(split_part(text, chr(10), 1), 96) AS preview FROM {script}"),
     "key_hash": Report("SELECT user_id, sha2(name, 256) AS key_hash, substring(name, 1, 8) AS key_prefix FROM {usr}", "SELECT user_id, sha256(name) AS key_hash, substring(name, 1, 8) AS key_prefix FROM {usr}"),
     "percent_used": Report("SELECT user_id, CAST(GREATEST(0, LEAST(100, FLOOR(100 * balance / 5000 + 0.5))) AS BIGINT) AS percent, CAST(GREATEST(LEAST(5000 - balance, 5000), 0) AS DOUBLE) AS used, CASE tier WHEN 'BUILDING' THEN 'Pro' WHEN 'MACHINERY' THEN 'Monthly' ELSE 'Free' END AS tier_label FROM {usr}"),

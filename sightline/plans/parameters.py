@@ -124,6 +124,15 @@ def search_units(spark: SparkSession, sf_dir: str, params: SearchParams = Search
     return found.select("query_id", "unit_id", "video", "score")
 
 
+def docs_search(spark: SparkSession, sf_dir: str, query: str = "", first: int = 8) -> DataFrame:
+    """Entries whose title, text kind or category contains the query, whatever its case; without one the first entries."""
+    title = F.substring_index("text", "\n", 1)
+    entries = transcripts(spark, sf_dir).select("doc_id", title.alias("title"), "speaker", "lang")
+    if query.strip():
+        return entries.filter(F.contains(F.lower(F.concat_ws(" ", "title", "speaker", "lang")), F.lit(query.strip().lower())))
+    return entries.orderBy("doc_id").limit(first)
+
+
 def job_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs as a console shows them: status, size and age in words, and each job's share of its source's peak."""
     now = F.lit(JOBS_AS_OF).cast("timestamp_ntz")
@@ -144,6 +153,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_units": search_units,
     "search_units_filtered": lambda spark, sf_dir: search_units(spark, sf_dir, SHORT),
     "job_display": job_display,
+    "docs_search": docs_search,
+    "docs_search_text": lambda spark, sf_dir: docs_search(spark, sf_dir, " The "),
 }
 _LOG = "SELECT request_id, user_id, query_text, surface, result_count, created_at FROM {qlog}"
 _DOT = "list_sum(list_transform(range(1, len(u.embedding) + 1), lambda i: u.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
@@ -165,4 +176,6 @@ ORACLES = {name: Report(sql).oracle() for name, sql in {
     "search_units": _TOP.replace("[where]", "TRUE").replace("[k]", "10"),
     "search_units_filtered": _TOP.replace("[where]", _FITTING).replace("[k]", "5"),
     "job_display": _DISPLAY,
+    "docs_search": "SELECT doc_id, split_part(text, chr(10), 1) AS title, speaker, lang FROM {script} ORDER BY doc_id LIMIT 8",
+    "docs_search_text": "SELECT doc_id, split_part(text, chr(10), 1) AS title, speaker, lang FROM {script} WHERE contains(lower(concat_ws(' ', split_part(text, chr(10), 1), speaker, lang)), 'the')",
 }.items()}

@@ -211,6 +211,19 @@ def source_growth(spark: SparkSession, sf_dir: str, window: ReportWindow) -> Dat
     return videos.join(parts, "source_id", "left").select("source_id", "videos_added", "previous_videos_added", F.coalesce("segments_added", F.lit(0)).alias("segments_added"))
 
 
+def worker_nodes(spark: SparkSession, sf_dir: str, as_of: datetime.datetime = AS_OF) -> DataFrame:
+    """Each worker over the last 24 hours: ended steps, their mean frames, what runs on its slots, and whether it is alive."""
+    w = ReportWindow.hours("24h", as_of)
+    now, rows = w.current("finished_at"), dated_steps(spark, sf_dir).filter(F.col("finished_at") < moment(as_of))
+    age = F.timestamp_diff("SECOND", F.col("last_heartbeat"), moment(as_of))
+    sums = rows.groupBy("worker").agg(
+        F.count_if(now & (F.col("status") == "completed")).alias("completed"), F.count_if(now & (F.col("status") == "failed")).alias("failed"),
+        F.round(F.avg(F.when(now & (F.col("status") == "completed"), F.col("frames"))), 4).alias("average_frames"), F.count_if(now & (F.col("status") == "running")).alias("active"), F.max("finished_at").alias("last_heartbeat"),
+    )
+    state = F.when(age <= 60, "online").when(age <= 86_400, "stale").otherwise("offline")
+    return sums.select("worker", "completed", "failed", "average_frames", F.least("active", F.col("worker") % 4 + 1).alias("active"), (F.col("worker") % 4 + 1).alias("slots"), "last_heartbeat", state.alias("state"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"admin_metrics_{key}": (lambda spark, sf_dir, key=key: admin_metrics(spark, sf_dir, ReportWindow.of(key))) for key in DAYS},
     "metric_targets": metric_targets,
@@ -218,6 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latency_percentiles": latency_percentiles,
     "daily_latency_p95": daily_latency_p95,
     "source_analytics": source_analytics,
+    "worker_node_24h": worker_nodes,
     "source_growth": lambda spark, sf_dir: source_growth(spark, sf_dir, ReportWindow.of("30d")),
 }
 
@@ -284,6 +298,9 @@ SELECT c.day, coalesce(requests, 0) AS requests, coalesce(credits_used, 0)::BIGI
     "latency_percentiles": "SELECT round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events",
     "daily_latency_p95": "SELECT c.day, round(quantile_cont(value, 0.95), 4) AS latency_p95_ms FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY))::DATE AS day) c LEFT JOIN events e ON e.ts::DATE = c.day GROUP BY c.day",
     "source_analytics": _analytics_sql(),
+    "worker_node_24h": f"""SELECT l_partkey AS worker, count(*) FILTER (WHERE now AND l_returnflag = 'A') AS completed, count(*) FILTER (WHERE now AND l_returnflag = 'R') AS failed, round(avg(l_quantity) FILTER (WHERE now AND l_returnflag = 'A'), 4) AS average_frames,
+  least(count(*) FILTER (WHERE now AND l_returnflag = 'N'), l_partkey % 4 + 1) AS active, l_partkey % 4 + 1 AS slots, max(d) AS last_heartbeat, CASE WHEN max(d) >= TIMESTAMP '{AS_OF}' - INTERVAL 1 MINUTE THEN 'online' WHEN max(d) >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 'stale' ELSE 'offline' END AS state
+FROM (SELECT *, l_shipdate + INTERVAL {JOB_SHIFT} DAY AS d, l_shipdate + INTERVAL {JOB_SHIFT} DAY >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AS now FROM lineitem) WHERE d < TIMESTAMP '{AS_OF}' GROUP BY l_partkey""",
     "source_growth": f"""WITH {_JOBS}, near AS (SELECT *, created_at >= TIMESTAMP '{_MONTH.current_start}' AS now FROM job WHERE status = 'completed' AND created_at >= TIMESTAMP '{_MONTH.previous_start}' AND created_at < TIMESTAMP '{_MONTH.current_end}')
 SELECT source_id, count(DISTINCT video) FILTER (WHERE now) AS videos_added, count(DISTINCT video) FILTER (WHERE NOT now) AS previous_videos_added,
   CAST(coalesce(sum((SELECT count(*) FROM lineitem WHERE l_orderkey = job_id AND l_returnflag = 'A')) FILTER (WHERE now), 0) AS BIGINT) AS segments_added FROM near GROUP BY source_id""",

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars
-from sightline.sources.tables import only_new, read, read_or_empty
+from sightline.sources.tables import only_new, read, read_jdbc, read_json, read_or_empty
 from sightline.streaming import events as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +41,20 @@ def test_tables(spark):
     assert [r.a for r in only_new(new, spark.createDataFrame([(1,)], "a long"), "a").collect()] == [2]
 
 
+def test_json_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "v": "x"}\n{"id": "no", "v": "y"}\n{broken\n{"v": "z"}\n{"id": 2}\n')
+    assert sorted((r.id, r.v) for r in read_json(spark, str(tmp_path), "id long, v string", ("id",)).collect()) == [(1, "x"), (2, None)]
+    assert read_json(spark, str(tmp_path), "id long, v string", ()).count() == 5
+
+
+def test_jdbc_in_parts(spark):
+    url = "jdbc:derby:memory:parts;create=true"
+    spark.range(100).selectExpr("id", "id * 2 AS twice").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    parts = read_jdbc(spark, url, "SELECT * FROM t WHERE id >= 10", "ID", 10, 100, 5)
+    assert parts.rdd.getNumPartitions() == 5 and sorted(r[0] for r in parts.collect()) == list(range(10, 100))
+    assert read_jdbc(spark, url, "SELECT COUNT(*) AS n FROM t").first()[0] == 100
+
+
 @pytest.mark.parametrize("form", [streaming.unique_clicks, streaming.requests_per_second, streaming.daily_trend, streaming.sessions])
 def test_stream_equals_batch(spark, tmp_path, form):
     folder = tmp_path / "in"
