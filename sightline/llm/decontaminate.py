@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import materialize, release, table
+from sightline.llm.common import materialize, release, table, trimmed
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z in lower case; every ASCII character that is no letter or digit becomes a space.
@@ -246,7 +246,7 @@ def _found(docs: DataFrame, data: bytes, kept: tuple[str, ...], all_rows: bool)
             yield pd.DataFrame(rows, columns=order)[[*kept, "n_words", "spans", "items"]]
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys(("text", *kept))).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + f", {HITS}")
+    return docs.select(*dict.fromkeys(("text", *kept))).mapInPandas(trimmed(run), ", ".join(f"{c} {kinds[c]}" for c in kept) + f", {HITS}")
 
 
 def _merged(spans: pd.Series) -> pd.Series:

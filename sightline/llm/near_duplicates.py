@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import materialize, release, table
+from sightline.llm.common import materialize, release, table, trimmed
 from sightline.llm.components import components
 from sightline.llm.hashing import PartHashes, mix
 from sightline.llm.shared_shingles import BLOB, SET, answered, place, records, sharing_rows
@@ -373,7 +373,7 @@ def verify(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
                         out.append((i, b))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInPandas(trimmed(run), "a long, b long")
 
 
 def _open_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -434,7 +434,7 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     first = lambda n: prefix_length(n, p.percent)
 
     # sets that share too few of their first shingles with any other go
-    sent = materialize(docs.mapInArrow(records(buckets, cut, first, p.held), f"{SET}, {BLOB}"), "records")
+    sent = materialize(docs.mapInArrow(trimmed(records(buckets, cut, first, p.held)), f"{SET}, {BLOB}"), "records")
     feats = materialize(sent.filter("row IS NOT NULL").drop("flush", "bucket", "data"), "sets")
     sharing = materialize(sharing_rows(sent.filter("row IS NULL"), answered(sent), lambda n: np.minimum(n, common_prefix(n))), "sharing")
     release(sent)
@@ -449,7 +449,7 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
 
     # of all shingles of those that are left, enough for a link must occur elsewhere
     again = some.select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("key"), "text")
-    sent = materialize(again.mapInArrow(records(buckets, cut, lambda n: n, p.held), f"{SET}, {BLOB}"), "records")
+    sent = materialize(again.mapInArrow(trimmed(records(buckets, cut, lambda n: n, p.held)), f"{SET}, {BLOB}"), "records")
     answers = materialize(answered(sent, p.leaf), "answers")
     sharing = sharing_rows(sent.filter("row IS NULL"), answers, lambda n: -(-p.percent * n // 100))
     ids = sent.filter("row IS NOT NULL").join(sharing, "row", "left_semi").select(F.col("key").alias("id"))
@@ -457,11 +457,11 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     release(sent, some)
 
     heavy, often = heaviest(answers, p.leaf, p.heavy)
-    points = materialize(texts.mapInPandas(_features(p, buckets, heavy, often), "id long, n long, prefix array<long>, salts array<long>, point binary"), "points")
+    points = materialize(texts.mapInPandas(trimmed(_features(p, buckets, heavy, often)), "id long, n long, prefix array<long>, salts array<long>, point binary"), "points")
     release(answers)
     rows = points.select("id", "n", F.inline(F.arrays_zip(F.col("prefix").alias("h"), "salts"))).withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
     rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "id")
-    shared = materialize(rows.mapInPandas(_pivots(p.percent), "h long, id long, n long, pivot long"), "shared")
+    shared = materialize(rows.mapInPandas(trimmed(_pivots(p.percent)), "h long, id long, n long, pivot long"), "shared")
 
     def surviving(pairs: DataFrame) -> DataFrame:
         a, b = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
@@ -489,7 +489,7 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
         return tiles.join(points.select("id", "n", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
 
     def nearest(rows: DataFrame) -> DataFrame:
-        found = in_tiles(rows).mapInArrow(_tree_pairs(p, nearest=True), "a long, b long, score double")
+        found = in_tiles(rows).mapInArrow(trimmed(_tree_pairs(p, nearest=True)), "a long, b long, score double")
         return found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
 
     # Each round leaves fewer runs that hold several components.
@@ -510,7 +510,7 @@ def linked_rows(docs: DataFrame, params: JaccardParams = JaccardParams()) -> Dat
     one, other = (few.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     close = (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
     paired = one.join(other, "h").filter(F.col("a") > F.col("b")).filter(close).select("a", "b", (1 + F.floor(F.least("na", "nb") / 20)).alias("k"), F.lit(1).cast("long").alias("c"))
-    counted = placed.mapInArrow(_tree_pairs(p), "a long, b long, k long, c long").unionByName(paired).groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
+    counted = placed.mapInArrow(trimmed(_tree_pairs(p)), "a long, b long, k long, c long").unionByName(paired).groupBy("a", "b").agg(F.max("k").alias("k"), F.sum("c").alias("c")).filter("c >= k").select("a", "b")
     more = materialize(verify(materialize(surviving(materialize(counted, "counted")), "pairs"), texts, p), "links")
 
     release(texts, points)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import materialize, table
+from sightline.llm.common import materialize, table, trimmed
 
 SIZE, END_ID = 2048, 0
 #: Encodings of words kept by a Python worker; longer words are not kept.
@@ -64,6 +64,10 @@ class WordEncoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops the kept words: the next task's are others, and the worker serves other stages meanwhile."""
+        self.kept, self.older = {}, {}
+
     def _encode(self, part: str) -> bytes:
         return array("I", self.ids(part)).tobytes()
 
@@ -164,8 +168,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, ranks[length]))
                     ranks[length] += 1
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
+        encoder.forget()
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select("doc_id", "text").mapInPandas(trimmed(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
@@ -186,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
             yield b.assign(sequence_id=sequence, offset=offset)
 
     ranked = found.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before")
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInPandas(trimmed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

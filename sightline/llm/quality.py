@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SPACES, materialize, release, table
+from sightline.llm.common import SPACES, materialize, release, table, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes by byte; UTF-8 lead bytes of non-ASCII characters are one class and
@@ -125,7 +125,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def references(docs: DataFrame, p: QualityParams) -> DataFrame:
     """lang, class histogram, common words, their histogram with all other words last. The pooled
     reference has the language POOLED."""
-    sums = docs.select("lang", "text").mapInPandas(_counts, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    sums = docs.select("lang", "text").mapInPandas(trimmed(_counts), "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     sums = materialize(sums, "sums")
     try:
         kinds = range(len(CLASSES) + 1)
@@ -231,7 +231,7 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 
     docs = docs.select("doc_id", "text", "lang")
     if by_lang is not None:
-        return docs.mapInPandas(run, SCHEMA)
+        return docs.mapInPandas(trimmed(run), SCHEMA)
     return with_reference(docs, refs).select("d.doc_id", "d.text", "ref").mapInPandas(run_joined, SCHEMA)
 
 
@@ -252,7 +252,7 @@ def keep_quality(docs: DataFrame, params: QualityParams = QualityParams()) -> Da
             yield pd.Series([judge(None, t, of(r), params)[7] for t, r in zip(texts, given, strict=True)], dtype=bool)
 
     if by_lang is not None:
-        return docs.filter(F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)("text", "lang"))
+        return docs.filter(F.pandas_udf(trimmed(run), "boolean", F.PandasUDFType.SCALAR_ITER)("text", "lang"))
     return with_reference(docs, refs).filter(F.pandas_udf(run_joined, "boolean", F.PandasUDFType.SCALAR_ITER)("d.text", "ref")).select("d.*")
 
 
