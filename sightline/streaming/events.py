@@ -1,11 +1,14 @@
 """Streaming forms: each takes an event stream (event_id, ts, user_id, event_type, ...) or a table
-of events, since the plans are the same, and bounds its state by a watermark."""
+of events, and bounds its state by a watermark. The plans are the same but for unique clicks: a stream
+forgets a click once the watermark has passed it by ``late`` and then counts another one, a table never does."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.display import tracked_event
+
 
 def event_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     """New event files of a folder, in the schema of a stored table."""
@@ -24,6 +27,18 @@ def unique_clicks(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return clicks.dropDuplicatesWithinWatermark(keys) if events.isStreaming else clicks.dropDuplicates(keys)
 
 
+def tracking_events(hits: DataFrame) -> DataFrame:
+    """Hits on tracking paths (ts, path) as ts, short_id, request_id, rank, kind; other paths go."""
+    return hits.select("ts", *(c.alias(n) for n, c in tracked_event(F.col("path")).items())).filter("kind IS NOT NULL")
+
+
+def unique_outbound_clicks(hits: DataFrame, late: str = "1 hour") -> DataFrame:
+    """One outbound click for each short id, request and rank."""
+    clicks = _marked(tracking_events(hits), late).filter("kind = 'outbound_click'")
+    keys = ["short_id", "request_id", "rank"]
+    return clicks.dropDuplicatesWithinWatermark(keys) if hits.isStreaming else clicks.dropDuplicates(keys)
+
+
 def requests_per_second(events: DataFrame, limit: int = 1, late: str = "10 seconds") -> DataFrame:
     """Requests of each user and second, and whether they exceed the limit."""
     n = _marked(events, late).groupBy(F.window("ts", "1 second"), "user_id").agg(F.count("*").alias("requests"))
