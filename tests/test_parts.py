@@ -51,7 +51,7 @@ def test_json_rows(spark, tmp_path):
 def test_jdbc_in_parts(spark):
     url = "jdbc:derby:memory:parts;create=true"
     spark.range(100).selectExpr("id", "id * 2 AS twice").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
-    parts = read_jdbc(spark, url, "SELECT * FROM t WHERE id >= 10", "ID", 10, 100, 5)
+    parts = read_jdbc(spark, url, 'SELECT * FROM t WHERE "id" >= 10', "id", 10, 100, 5)
     assert parts.rdd.getNumPartitions() == 5 and sorted(r[0] for r in parts.collect()) == list(range(10, 100))
     assert read_jdbc(spark, url, "SELECT COUNT(*) AS n FROM t").first()[0] == 100
 
