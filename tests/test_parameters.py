@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars
-from sightline.plans.parameters import LogParams, SearchParams, present, query_logs
+from sightline.plans.parameters import LogParams, SearchParams, present, query_logs, search_units
 
 SF = "/root/testdata/sf0.001"
 
