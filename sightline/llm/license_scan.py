@@ -154,6 +154,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     words = units.filter((F.size("words") > 1) & (F.size(F.array_distinct("words")) - 1 <= most))
     grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     sized = words.select("doc_id", "unit", "line", grams.alias("grams")).withColumn("size", F.size("grams")).filter(F.col("size") <= most)
+    # what reaches t shares t / (2 - t) of its bigrams with one template, so with all of them: most units go here
+    every = sorted({g for texts in templates.values() for t in parts_of(texts) for g in bigram_set(t)})
+    shared = F.size(F.filter("grams", lambda g: g.isin(every)))
+    sized = sized.filter(shared >= F.col("size") * (threshold / (2 - threshold)) - 1e-6)
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND) + 1e-9).cast("int")
     both = sized.withColumn("band", band).join(known, "band").filter(F.col("size").between(F.col("low"), F.col("high")))
     scored = both.withColumn("dice", 2 * F.size(F.array_intersect("grams", "template")) / (F.col("size") + F.col("template_size")))
