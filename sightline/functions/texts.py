@@ -1,4 +1,4 @@
-"""Folds over the characters of a text, inside Spark's expressions: a list with quotes, and hashes of 32 bits."""
+"""Lists with quotes, and hashes of 32 bits as folds over the characters of a text, inside Spark's expressions."""
 
 from __future__ import annotations
 
@@ -10,57 +10,37 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _unquoted(text: Column, stop: str) -> Column:
-    """Where ``stop`` first stands outside of quotes (from 1), or 0. In double quotes a backslash takes the next character."""
-    chars = _characters(text)
-    start = F.struct(F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("found"))
-
-    def step(s: Column, c: Column) -> Column:
-        inside = s["quote"] != ""
-        takes = s["escaped"]
-        opens = ~inside & c.isin('"', "'")
-        quote = F.when(takes, s["quote"]).when(inside & (c == s["quote"]), "").when(opens, c).otherwise(s["quote"])
-        found = F.when((s["found"] == 0) & ~inside & (c == stop), s["at"] + 1).otherwise(s["found"])
-        escaped = ~takes & (s["quote"] == '"') & (c == "\\")
-        return F.struct(quote.alias("quote"), escaped.alias("escaped"), (s["at"] + 1).alias("at"), found.alias("found"))
-
-    return F.aggregate(chars, start, step, lambda s: s["found"])
+def _run(stop: str, times: str) -> str:
+    """A pattern of text up to a ``stop`` outside of quotes. In double quotes a backslash takes the next character; open
+    quotes reach to the end. Nothing in it goes back, so long texts need neither more stack nor more than one pass."""
+    return rf"""(?s)(?:[^"'{stop}]++|"(?:[^"\\]++|\\.?+)*+"?+|'[^']*+'?+){times}+"""
 
 
 def without_comment(text: Column) -> Column:
     """What stands before the first # outside of quotes, trimmed."""
-    at = _unquoted(text, "#")
-    return F.trim(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text))
+    return F.trim(F.regexp_extract(text, "^" + _run("#", "*"), 0))
 
 
-def plain_value(text: Column) -> Column:
-    """A value without its quotes; nothing, null and ~ are null."""
-    t = without_comment(text)
+def _bare(t: Column) -> Column:
     n = F.length(t)
     quoted = (n >= 2) & (((F.left(t, F.lit(1)) == '"') & (F.right(t, F.lit(1)) == '"')) | ((F.left(t, F.lit(1)) == "'") & (F.right(t, F.lit(1)) == "'")))
     return F.when(t.isin("", "null", "~"), None).when(quoted, F.substring(t, F.lit(2), n - 2)).otherwise(t)
 
 
+def plain_value(text: Column) -> Column:
+    """A value without its quotes; nothing, null and ~ are null."""
+    return _bare(without_comment(text))
+
+
 def quoted_list(text: Column) -> Column:
     """The values of a comma-separated list, with or without brackets, trimmed and in lower case: commas inside of
     quotes separate nothing, blank values go, and of equal ones the first stays."""
     t = without_comment(text)
     inner = F.when(t.startswith("[") & t.endswith("]") & (F.length(t) >= 2), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    start = F.struct(F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit("").alias("current"), F.array().cast("array<string>").alias("items"))
-
-    def step(s: Column, c: Column) -> Column:
-        inside = s["quote"] != ""
-        takes = s["escaped"]
-        cuts = ~inside & (c == ",")
-        quote = F.when(takes, s["quote"]).when(inside & (c == s["quote"]), "").when(~inside & c.isin('"', "'"), c).otherwise(s["quote"])
-        return F.struct(
-            quote.alias("quote"), (~takes & (s["quote"] == '"') & (c == "\\")).alias("escaped"),
-            F.when(cuts, "").otherwise(F.concat(s["current"], c)).alias("current"), F.when(cuts, F.array_append(s["items"], s["current"])).otherwise(s["items"]).alias("items"),
-        )
-
-    items = F.aggregate(_characters(inner), start, step, lambda s: F.array_append(s["items"], s["current"]))
-    values = F.filter(F.transform(items, lambda x: F.lower(F.trim(plain_value(x)))), lambda x: x.isNotNull() & (x != ""))
-    return F.when(text.isNotNull(), F.array_distinct(values))
+    items = F.regexp_extract_all(inner, F.lit(_run(",", "+")), F.lit(0))
+    # one step each, as a value that a lambda names several times is made as often
+    values = F.transform(F.transform(items, without_comment), lambda x: F.lower(F.trim(_bare(x))))
+    return F.when(text.isNotNull(), F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != ""))))
 
 
 def string_hash(text: Column) -> Column:
