@@ -15,51 +15,63 @@ SHOWN_ELSEWHERE = (
     "logs", "guidance", "duration_ms", "timeout_seconds", "current_route", "analysis_route", "route_counts", "annotation_frame_count", "total_annotation_frame_count",
     *(f"{t}_time_ms" for t in TIMINGS), *(f"total_{t}_time_ms" for t in TIMINGS),
 )
-
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+#: Numbers that ``telemetry`` reads of a step's artifacts, and routes.
+NUMBERS = ("annotation_frame_count", "total_annotation_frame_count", *(f"{t}_time_ms" for t in TIMINGS), *(f"total_{t}_time_ms" for t in TIMINGS))
+TEXTS = ("current_route", "analysis_route")
 
 
 def _is_number(value: Column) -> Column:
-    return _kind(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+
+
+def read_fields(v: Column) -> Column:
+    """What ``telemetry`` reads of a VARIANT, taken out of it in one pass."""
+    return F.try_variant_get(v, "$", "struct<route_counts variant, " + ", ".join(f"{name} variant" for name in (*NUMBERS, *TEXTS)) + ">")
 
 
-def number_at(v: Column, path: str) -> Column:
-    """The number at a path; strings, even of digits, and others are none."""
-    return F.when(_is_number(F.try_variant_get(v, path, "variant")), F.try_variant_get(v, path, "double"))
+def read_numbers(fields: Column) -> Column:
+    """Route counts and ``NUMBERS`` in this order; strings, even of digits, and others are none. As one rule over an array
+    it stays small in generated code: a method of more than 8,000 bytes is never compiled."""
+    found = F.array(*(F.try_variant_get(fields["route_counts"], f"$.{r}", "variant") for r in ROUTES), *(fields[name] for name in NUMBERS))
+    return F.transform(found, lambda x: F.when(x.isNotNull() & _is_number(x), F.try_variant_get(x, "$", "double")))
 
 
-def text_at(v: Column, path: str) -> Column:
-    return F.when(_kind(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+def read_texts(fields: Column) -> Column:
+    found = F.array(*(fields[name] for name in TEXTS))
+    return F.transform(found, lambda x: F.when(x.isNotNull() & (F.schema_of_variant(x) == "STRING"), F.try_variant_get(x, "$", "string")))
 
 
-def telemetry(v: Column) -> dict[str, Column]:
-    """Route, route counts (0 if not told), frames and times of a step's artifacts, a VARIANT (``F.try_parse_json``) that
-    should be a column of its own, so that each row is parsed once. A total stands before the step's own value."""
-    route = lambda name: F.when(text_at(v, f"$.{name}").isin(*ROUTES), text_at(v, f"$.{name}"))
+def telemetry(v: Column, numbers: Column | None = None, texts: Column | None = None) -> dict[str, Column]:
+    """Route, route counts (0 if not told), frames and times of a step's artifacts, a VARIANT (``F.try_parse_json``). It, its
+    ``read_fields``, and of these the numbers and texts should be columns, so that each row is parsed and searched once. A
+    total stands before the step's own value."""
+    numbers = read_numbers(read_fields(v)) if numbers is None else numbers
+    texts = read_texts(read_fields(v)) if texts is None else texts
+    number = {name: numbers[i] for i, name in enumerate((*ROUTES, *NUMBERS))}
     return {
-        "current_route": F.coalesce(route("current_route"), route("analysis_route")),
-        **{r: F.coalesce(number_at(v, f"$.route_counts.{r}"), F.lit(0.0)) for r in ROUTES},
-        "annotation_frames": number_at(v, "$.annotation_frame_count"),
-        "total_annotation_frames": number_at(v, "$.total_annotation_frame_count"),
-        **{f"{t}_ms": F.coalesce(number_at(v, f"$.total_{t}_time_ms"), number_at(v, f"$.{t}_time_ms")) for t in TIMINGS},
+        "current_route": F.coalesce(*(F.when(texts[i].isin(*ROUTES), texts[i]) for i in range(len(TEXTS)))),
+        **{r: F.coalesce(number[r], F.lit(0.0)) for r in ROUTES},
+        "annotation_frames": number["annotation_frame_count"],
+        "total_annotation_frames": number["total_annotation_frame_count"],
+        **{f"{t}_ms": F.coalesce(number[f"total_{t}_time_ms"], number[f"{t}_time_ms"]) for t in TIMINGS},
     }
 
 
 def artifact_summary(artifacts: Column, n: int = 2) -> Column:
-    """The first ``n`` fields that say something new, as "name: value"; null if there is none."""
-    fields = F.from_json(artifacts, "map<string,variant>")
-    empty = lambda x: (_kind(x) == "VOID") | (x.cast("string") == "") | (_is_number(x) & (F.try_variant_get(x, "$", "double") == 0))
-    told = F.map_filter(fields, lambda k, x: x.isNotNull() & ~empty(x) & ~k.isin(*SHOWN_ELSEWHERE))
-    parts = F.transform(F.slice(F.map_entries(told), 1, n), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))
-    return F.when(F.size(told) > 0, F.array_join(parts, " • "))
+    """The first ``n`` fields that say something new, as "name: value"; null if there is none. Each step names what the
+    one before made once or by a lambda's variable, as an expression named twice may be made twice."""
+    fields = F.filter(F.map_entries(F.from_json(artifacts, "map<string,variant>")), lambda e: ~e["key"].isin(*SHOWN_ELSEWHERE))
+    texts = F.transform(fields, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), e["value"].cast("string").alias("text")))
+    zero = lambda e: e["text"].rlike("^-?[0.]+(E|$)") & _is_number(e["value"]) & (F.try_variant_get(e["value"], "$", "double") == 0)
+    told = F.filter(texts, lambda e: e["text"].isNotNull() & (e["text"] != "") & ~zero(e))
+    return F.nullif(F.array_join(F.transform(F.slice(told, 1, n), lambda e: F.concat(e["key"], F.lit(": "), e["text"])), " • "), F.lit(""))
 
 
 def payload_summary(v: Column) -> Column:
     """How many items or fields a payload, a VARIANT, has; what is neither a list nor an object is opaque."""
     counted = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
-    items, fields = F.size(F.try_variant_get(v, "$", "array<variant>")), F.size(F.try_variant_get(v, "$", "map<string,variant>"))
-    return F.when(_kind(v).startswith("ARRAY"), counted(items, "item")).when(_kind(v).startswith("OBJECT"), counted(fields, "field")).otherwise("opaque")
+    items, fields = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
+    return F.when(items.isNotNull(), counted(F.size(items), "item")).when(fields.isNotNull(), counted(F.size(fields), "field")).otherwise("opaque")
 
 
 def reported_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,15 +89,20 @@ def reported_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("long").alias("step"), told.alias("artifacts"))
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reported_steps(spark, sf_dir).withColumn("v", F.try_parse_json("artifacts")).withColumn("fields", read_fields(F.col("v")))
+    return rows.withColumns({"numbers": read_numbers(F.col("fields")), "texts": read_texts(F.col("fields"))}).drop("fields")
+
+
 def step_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reported_steps(spark, sf_dir).withColumn("v", F.try_parse_json("artifacts"))
-    return rows.select("job_id", "step", *(c.alias(n) for n, c in telemetry(F.col("v")).items()), artifact_summary(F.col("artifacts")).alias("summary"), payload_summary(F.col("v")).alias("payload"))
+    told = telemetry(F.col("v"), F.col("numbers"), F.col("texts"))
+    return _read(spark, sf_dir).select("job_id", "step", *(c.alias(n) for n, c in told.items()), artifact_summary(F.col("artifacts")).alias("summary"), payload_summary(F.col("v")).alias("payload"))
 
 
 def scene_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes of each job by route, and its annotated frames."""
-    t = telemetry(F.col("v"))
-    rows = reported_steps(spark, sf_dir).withColumn("v", F.try_parse_json("artifacts")).select("job_id", *(t[r].alias(r) for r in ROUTES), F.coalesce(t["total_annotation_frames"], t["annotation_frames"], F.lit(0.0)).alias("frames"))
+    t = telemetry(F.col("v"), F.col("numbers"), F.col("texts"))
+    rows = _read(spark, sf_dir).select("job_id", *(t[r].alias(r) for r in ROUTES), F.coalesce(t["total_annotation_frames"], t["annotation_frames"], F.lit(0.0)).alias("frames"))
     return rows.groupBy("job_id").agg(*(F.sum(r).cast("long").alias(r) for r in ROUTES), F.sum("frames").cast("long").alias("annotation_frames"))
 
 
