@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 FOUND = "query_id long, unit_id long, video long, unit_type string, score double"
 ARROW = pa.schema([("query_id", pa.int64()), ("unit_id", pa.int64()), ("video", pa.int64()), ("unit_type", pa.string()), ("score", pa.float64())])
 #: Queries multiplied at once inside a task.
-AT_ONCE = 256
+AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -54,22 +54,37 @@ def matrix(table: pa.Table | pa.RecordBatch, name: str = "embedding") -> np.ndar
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _rounded(scores: np.ndarray, digits: float) -> None:
+    """Halves go up; in place, since a part's scores are a worker's largest array."""
+    scores *= digits
+    scores += 0.5
+    np.floor(scores, out=scores)
+    scores /= digits
+
+
 def _best(p: SearchParams):
     def run(asked: pa.Table, units: pa.Table) -> pa.Table:
         if not asked.num_rows or not units.num_rows:
             return ARROW.empty_table()
         units = units.take(pc.sort_indices(units, [("unit_id", "ascending")]))
         u, ids, videos = matrix(units), units.column("unit_id").to_numpy(), units.column("video").to_numpy()
+        types = units.column("unit_type").combine_chunks()
+        del units
         weight = np.ones(len(ids))
         for name, w in p.weights:
-            weight[np.array([t == name for t in units.column("unit_type").to_pylist()], bool)] = w
-        query_ids, where, values = asked.column("query_id").to_numpy(), [], []
+            weight[np.array([t == name for t in types.to_pylist()], bool)] = w
+        found, scores = [], np.empty((min(AT_ONCE, asked.num_rows), len(ids)))
         for start in range(0, asked.num_rows, AT_ONCE):
             part = asked.slice(start, AT_ONCE)
-            scores = np.floor(np.clip(matrix(part, "query") @ u.T, 0, 1) * 1e5 + 0.5) / 1e5
+            query_ids, scores = part.column("query_id").to_numpy(), scores[: part.num_rows]
+            np.matmul(matrix(part, "query"), u.T, out=scores)
+            np.clip(scores, 0, 1, out=scores)
+            _rounded(scores, 1e5)
             if p.weights:
-                scores = np.floor(scores * weight * 1e6 + 0.5) / 1e6
-            scores[part.column("query_id").to_numpy()[:, None] == ids] = -1
+                scores *= weight
+                _rounded(scores, 1e6)
+            scores[query_ids[:, None] == ids] = -1
+            where, values = [], []
             for row in scores:
                 if p.per_video:
                     order = np.argsort(-row, kind="stable")
@@ -82,9 +97,9 @@ def _best(p: SearchParams):
                 order = order[row[order] >= 0]
                 where.append(order)
                 values.append(row[order])
-        at = np.concatenate(where)
-        asker = np.repeat(query_ids, [len(x) for x in where])
-        return pa.Table.from_arrays([pa.array(asker), pa.array(ids[at]), pa.array(videos[at]), units.column("unit_type").take(pa.array(at)).combine_chunks(), pa.array(np.concatenate(values))], schema=ARROW)
+            at, asker = np.concatenate(where), np.repeat(query_ids, [len(x) for x in where])
+            found.append(pa.RecordBatch.from_arrays([pa.array(asker), pa.array(ids[at]), pa.array(videos[at]), types.take(pa.array(at)), pa.array(np.concatenate(values))], schema=ARROW))
+        return pa.Table.from_batches(found, schema=ARROW)
 
     return run
 
