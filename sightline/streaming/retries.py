@@ -26,10 +26,12 @@ SCHEMA = "job_id long, at timestamp_ntz, status string, attempts int, reason str
 
 @dataclass(frozen=True)
 class RetryParams:
-    """The wait after the n-th failure is ``wait_ms`` * 2^(n-1)."""
+    """The wait after the n-th failure is ``wait_ms`` * 2^(n-1). A task over a table takes about
+    ``task_rows`` attempts, whatever the table's size; this changes no result."""
 
     max_attempts: int = 3
     wait_ms: int = 30 * 86_400_000
+    task_rows: int = 1_000_000
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,27 +42,39 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_shipdate").alias("at"), outcome.alias("outcome"))
 
 
+def without_copies(rows: DataFrame, window) -> DataFrame:
+    """``rows`` without those that equal the one before them in ``window``."""
+    same = [F.lag(c).over(window).eqNullSafe(F.col(c)) for c in ("at", "seq", "outcome")]
+    return rows.withColumn("again", same[0] & same[1] & same[2]).filter("NOT again").drop("again")
+
+
 def retry_transitions(log: DataFrame, as_of: datetime.datetime, params: RetryParams = RetryParams()) -> DataFrame:
     """All transitions up to ``as_of``. Of each job and outcome only the first ``max_attempts`` attempts can
-    matter, so Spark keeps no more of a job in any task before it brings the job's attempts together."""
+    matter. A job's attempts, copies too, are dealt out by salt and no more than these are kept before they
+    come together, so a job with very many attempts is no single task. Partitions are counted out by rows:
+    those that Spark chooses let a task's memory grow with the table."""
     order = ["at", "seq", "outcome"]
-    once = log.filter(F.col("at").isNotNull() & (F.col("at") <= F.lit(as_of).cast("timestamp_ntz"))).select("job_id", *order).distinct()
-    nth = F.row_number().over(Window.partitionBy("job_id", "outcome").orderBy("at", "seq"))
-    first = once.withColumn("nth", nth).filter(F.col("nth") <= params.max_attempts)
+    rows = log.filter(F.col("at").isNotNull() & (F.col("at") <= F.lit(as_of).cast("timestamp_ntz"))).select("job_id", *order)
+    n = max(log.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // params.task_rows))
+    salt = F.pmod(F.xxhash64("at", "seq", F.spark_partition_id()), F.lit(n))
+    of_salt = Window.partitionBy("job_id", "salt", "outcome").orderBy("at", "seq")
+    dealt = without_copies(rows.withColumn("salt", salt).repartition(n, "job_id", "salt"), of_salt)
+    some = dealt.withColumn("nth", F.row_number().over(of_salt)).filter(F.col("nth") <= params.max_attempts)
     of_job = Window.partitionBy("job_id").orderBy(*order)
+    first = without_copies(some.select("job_id", *order).repartition(n, "job_id"), of_job)
     so_far = of_job.rowsBetween(Window.unboundedPreceding, 0)
     failures = F.sum(F.when(F.col("outcome") == "failed", 1).otherwise(0)).over(so_far).cast("int")
     ends = (F.col("outcome") != "failed") | (F.col("attempts") >= params.max_attempts)
     steps = first.withColumn("attempts", failures).withColumn("ends", ends.cast("int"))
     steps = steps.withColumn("ended", F.sum("ends").over(so_far) - F.col("ends")).withColumn("next_at", F.lead("at").over(of_job)).filter("ended = 0")
     wait = F.make_dt_interval(secs=F.lit(params.wait_ms / 1000) * F.pow(F.lit(2.0), F.col("attempts") - 1))
-    due = F.when(F.col("ends") == 0, F.col("at") + wait)
+    steps = steps.withColumn("due", F.when(F.col("ends") == 0, F.col("at") + wait))
     status = F.when(F.col("ends") == 0, "retrying").when(F.col("outcome") == "completed", "completed").otherwise("failed")
     reason = F.when(F.col("outcome") == "stopped", "hard_stop").when((F.col("outcome") == "failed") & (F.col("ends") == 1), "exhausted")
-    told = steps.select("job_id", "at", status.alias("status"), "attempts", reason.alias("reason"), due.alias("next_retry_at"), "next_at")
-    waited = told.filter((F.col("next_retry_at") <= F.lit(as_of).cast("timestamp_ntz")) & (F.col("next_at").isNull() | (F.col("next_at") > F.col("next_retry_at"))))
-    pending = waited.select("job_id", F.col("next_retry_at").alias("at"), F.lit("pending").alias("status"), "attempts", F.lit("due").alias("reason"), F.lit(None).cast("timestamp_ntz").alias("next_retry_at"))
-    return told.drop("next_at").unionByName(pending)
+    waited = (F.col("due") <= F.lit(as_of).cast("timestamp_ntz")) & (F.col("next_at").isNull() | (F.col("next_at") > F.col("due")))
+    told = F.struct("job_id", "at", status.alias("status"), "attempts", reason.alias("reason"), F.col("due").alias("next_retry_at"))
+    pending = F.struct("job_id", F.col("due").alias("at"), F.lit("pending").alias("status"), "attempts", F.lit("due").alias("reason"), F.lit(None).cast("timestamp_ntz").alias("next_retry_at"))
+    return steps.select(F.inline(F.when(waited, F.array(told, pending)).otherwise(F.array(told))))
 
 
 class RetryQueue(StatefulProcessor):

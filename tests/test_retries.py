@@ -3,6 +3,8 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from sightline.streaming.retries import RetryParams, retry_stream, retry_transitions, use_rocksdb
 
 DAY = datetime.timedelta(days=1)
@@ -49,3 +51,38 @@ def test_stream_equals_table(spark, tmp_path):
     got = [x for x in told(spark.table("retries")) if x[0] >= 0]
     expected = told(retry_transitions(spark.createDataFrame(rows, SCHEMA), FAR - 11 * DAY, PARAMS))
     assert got == expected and {x[2] for x in got} == {"retrying", "pending", "completed", "failed"}
+
+
+def walked(rows, as_of):
+    """The transitions of each job, one attempt after another."""
+    out, tell = [], lambda *x: out.append((*x[:4], x[4] or "", str(x[5])))
+    for job in {r[0] for r in rows}:
+        seen = sorted({(r[2], r[1], r[3]) for r in rows if r[0] == job and r[2] <= as_of})
+        failures = 0
+        for k, (moment, _, outcome) in enumerate(seen):
+            failures += outcome == "failed"
+            if outcome != "failed" or failures == PARAMS.max_attempts:
+                tell(job, moment, "completed" if outcome == "completed" else "failed", failures, {"failed": "exhausted", "stopped": "hard_stop"}.get(outcome), None)
+                break
+            due = moment + 2 ** (failures - 1) * DAY
+            tell(job, moment, "retrying", failures, None, due)
+            if due <= as_of and (k + 1 == len(seen) or seen[k + 1][0] > due):
+                tell(job, due, "pending", failures, "due", None)
+    return sorted(out)
+
+
+def test_a_task_takes_a_bounded_number_of_attempts(spark):
+    """Partitions go by rows, not by ``spark.sql.shuffle.partitions`` (4 here); so do a job of very many
+    attempts and copies that every part of the input holds."""
+    rng = random.Random(60)
+    some = lambda: rng.choice(["failed"] * 4 + ["completed", "stopped"])
+    rows = [(job, seq, START + rng.randrange(40 * 24) * DAY / 24, some()) for job in range(2, 600) for seq in range(rng.randrange(1, 6))]
+    rows += [(0, seq, START + rng.randrange(30 * 24) * DAY / 24, "failed" if seq % 400 else "completed") for seq in range(2_000)]
+    rows += [(1, 5, START + 3 * DAY, "failed")] * 500 + [(1, 6, START + 9 * DAY, "failed")] * 500
+    rng.shuffle(rows)
+    as_of = START + 35 * DAY
+    params = RetryParams(PARAMS.max_attempts, PARAMS.wait_ms, task_rows=100)
+    got = retry_transitions(spark.createDataFrame(rows, SCHEMA), as_of, params)
+    per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) >= 20 and max(per_task) < 300
+    assert told(got) == walked(rows, as_of) == told(retry_transitions(spark.createDataFrame(rows, SCHEMA), as_of, PARAMS))
